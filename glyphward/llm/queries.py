@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import piece_codec, token_counts
+from . import media_sequences, piece_codec, source_mix, token_counts, url_filter
 from .common import table
 
 
@@ -15,6 +15,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -23,5 +31,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op8_piece_codec, op9_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_sequences.document_media(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_source_mix, op8_piece_codec, op9_token_counts, op10_media_sequences)}
+ORACLE_SQL = {"op1_url_filter": url_filter.oracle(), "op3_source_mix": source_mix.ORACLE}
