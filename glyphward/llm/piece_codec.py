@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-MEMO = 250_000
+MEMO = 500_000
 LONGEST_MEMO = 64
 _EMPTY = hashlib.sha256(b"").hexdigest()
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -155,21 +155,33 @@ class Codec:
             parts = [s if s.startswith(MARK * 2) else s.removeprefix(MARK) for s in self.segments(text)]
             if not parts:
                 return 0, _EMPTY, _EMPTY
-        n, ids, spelled = zip(*map(self.memo.__getitem__, parts), strict=True)
-        return sum(n), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256("".join(spelled).removeprefix(" ").encode()).hexdigest()
+        ids = ",".join(map(self.memo.__getitem__, parts))
+        odd = self.memo.odd
+        decoded = "".join(odd.get(p) or _spaced(p) for p in parts).removeprefix(" ") if odd or MARK in text else text
+        return ids.count(",") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def _spaced(part: str) -> str:
+    return (part if part.startswith(MARK * 2) else MARK + part).replace(MARK, " ")
 
 
 class _Segments(dict):
-    """Segment, without its mark if it has one only -> number of ids, ids, text; a bounded memo."""
+    """Segment, without its mark if it has one only -> its ids; a bounded memo.
+
+    Each new segment is decoded too; odd keeps what segments decode to that don't decode to themselves.
+    """
 
     def __init__(self, codec: Codec):
         self.codec = codec
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
 
-    def __missing__(self, part: str) -> tuple[int, str, str]:
+    def __missing__(self, part: str) -> str:
         if (known := self.older.get(part)) is None:
             got = self.codec.segment_ids(part if part.startswith(MARK * 2) else MARK + part)
-            known = (len(got), ",".join(map(str, got)), self.codec.spelled(got))
+            known = ",".join(map(str, got))
+            if (spelled := self.codec.spelled(got)) != _spaced(part):
+                self.odd[part] = spelled
         if len(part) <= LONGEST_MEMO:
             if len(self) >= MEMO:  # the older half goes, segments in use come back from it
                 self.older = dict(self)
