@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_sequences, piece_codec, source_mix, token_counts, url_filter
+from . import language_id, media_sequences, piece_codec, source_mix, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -23,6 +23,16 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -35,5 +45,5 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_sequences.document_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_source_mix, op8_piece_codec, op9_token_counts, op10_media_sequences)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_source_mix, op4_language_id, op6_toxicity, op8_piece_codec, op9_token_counts, op10_media_sequences)}
 ORACLE_SQL = {"op1_url_filter": url_filter.oracle(), "op3_source_mix": source_mix.ORACLE}

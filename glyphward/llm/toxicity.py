@@ -23,9 +23,9 @@ from .common import crc_fold
 
 #: Labelled rows of each class that training may read.
 SAMPLE = 2500
-WINDOW = 4
-LEVEL = 5
-TOXIC_BYTES, ORDINARY_BYTES = 400, 3000
+WINDOW = 6
+LEVEL = 4
+TOXIC_BYTES, ORDINARY_BYTES = 400, 1500
 THRESHOLD = 0.3
 HELD_OUT = 2
 CARRIER = b" the quick brown fox jumps over the lazy dog and then some more of it"
