@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, media_sequences, piece_codec, source_mix, token_counts, toxicity, url_filter
+from . import language_id, media_sequences, piece_codec, simhash_dedup, source_mix, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -45,5 +49,5 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_sequences.document_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_source_mix, op4_language_id, op6_toxicity, op8_piece_codec, op9_token_counts, op10_media_sequences)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_source_mix, op4_language_id, op6_toxicity, op7_simhash_dedup, op8_piece_codec, op9_token_counts, op10_media_sequences)}
 ORACLE_SQL = {"op1_url_filter": url_filter.oracle(), "op3_source_mix": source_mix.ORACLE}
