@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, media_sequences, piece_codec, simhash_dedup, source_mix, token_counts, toxicity, url_filter
+from . import language_id, media_sequences, piece_codec, simhash_dedup, source_mix, substring_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_sequences.document_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_source_mix, op4_language_id, op6_toxicity, op7_simhash_dedup, op8_piece_codec, op9_token_counts, op10_media_sequences)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_source_mix, op4_language_id, op6_toxicity, op7_simhash_dedup, op8_piece_codec, op9_token_counts, op10_media_sequences)}
 ORACLE_SQL = {"op1_url_filter": url_filter.oracle(), "op3_source_mix": source_mix.ORACLE}
