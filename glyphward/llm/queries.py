@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, media_sequences, piece_codec, simhash_dedup, source_mix, substring_dedup, token_counts, toxicity, url_filter
+from . import language_id, media_sequences, piece_codec, posting_lists, simhash_dedup, source_mix, substring_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op5_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -53,5 +57,5 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_sequences.document_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_source_mix, op4_language_id, op6_toxicity, op7_simhash_dedup, op8_piece_codec, op9_token_counts, op10_media_sequences)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_source_mix, op4_language_id, op5_posting_lists, op6_toxicity, op7_simhash_dedup, op8_piece_codec, op9_token_counts, op10_media_sequences)}
 ORACLE_SQL = {"op1_url_filter": url_filter.oracle(), "op3_source_mix": source_mix.ORACLE}
