@@ -245,3 +245,23 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), (crc_fold(docs[id_col].cast("long")) == HELD_OUT).alias("held_out"), docs[text_col].cast("string").alias("text"))
     return base.mapInArrow(run, SCHEMA)
+
+
+def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows whose text the model rejects (null, no letter, or entropy above the bound).
+
+    All columns stay as they are, but a null language becomes the predicted one.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches):
+        m = shipped.value
+        entropies = m.scorer()
+        for batch in batches:
+            rows = [m.judge(*e) for e in entropies([t or "" for t in batch.column(text_at).to_pylist()])]
+            langs = [known if known is not None else r[0] for known, r in zip(batch.column(lang_at).to_pylist(), rows, strict=True)]
+            columns = [pa.array(langs, pa.string()) if k == lang_at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array([not r[3] for r in rows], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -16,13 +16,13 @@ import heapq
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
 MEMO = 500_000
 LONGEST_MEMO = 64
-_EMPTY = hashlib.sha256(b"").hexdigest()
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -147,18 +147,21 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         return self.spelled(ids).removeprefix(" ")
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, and digests of the ids and of the decoded text."""
+    def quick(self, text: str) -> tuple[str, str]:
+        """The ids, joined by commas, and the decoded text, by the memo."""
         # Without runs of spaces, segments are the words between spaces, each behind one mark.
         parts = text.split(" ") if text and MARK not in text else [""]
         if "" in parts:
             parts = [s if s.startswith(MARK * 2) else s.removeprefix(MARK) for s in self.segments(text)]
-            if not parts:
-                return 0, _EMPTY, _EMPTY
         ids = ",".join(map(self.memo.__getitem__, parts))
         odd = self.memo.odd
         decoded = "".join(odd.get(p) or _spaced(p) for p in parts).removeprefix(" ") if odd or MARK in text else text
-        return ids.count(",") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        return ids, decoded
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, and digests of the ids and of the decoded text."""
+        ids, decoded = self.quick(text)
+        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def _spaced(part: str) -> str:
@@ -206,8 +209,9 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def run(batches):
         c = codec(model_path)
         for batch in batches:
-            ids = [c.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+            rows = [c.quick(t or "") for t in batch.column(1).to_pylist()]
+            ids = [np.array(i.split(","), np.int32) if i else np.zeros(0, np.int32) for i, _ in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([d for _, d in rows], pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

@@ -147,3 +147,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = label.select("fp", F.bitwise_not("root").alias("k")).join(low.hint("merge"), "k").select(F.bitwise_not("fp").alias("k"), "component_id")
     out = own.withColumn("k", F.bitwise_not("fp")).join(named.hint("merge"), "k")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near-duplicates, that of the smallest id.
+
+    Of rows that repeat this id one stays. Rows without an id stay only where their whole group has none.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
+    named = docs.where(docs[id_col].isNotNull())
+    kept = named.join(stay.hint("merge"), named[id_col].cast("long") == F.col("__stay"), "left_semi").dropDuplicates([id_col])
+    nameless = found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fingerprint").alias("__fp")).distinct()
+    rest = docs.where(docs[id_col].isNull())
+    prints = F.udf(lambda t: f"{fingerprint(t):016x}")
+    return kept.unionByName(rest.join(nameless, prints(rest[text_col].cast("string")) == F.col("__fp"), "left_semi"))

@@ -68,6 +68,65 @@ def _with_plan(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
     return r.join(p, ["_key", "_salt"]).drop("_key", "_salt")
 
 
+class Mix:
+    """The plan of a mix over rows (doc_id, source, size), and the decisions it means for each row."""
+
+    def __init__(self, thin: DataFrame, weights=WEIGHTS, cap: int = CAP):
+        sizes = thin.groupBy("source").agg(F.sum("size").alias("source_size"))
+        plan = durable(allocate(sizes, weights, cap))
+        self.small = plan.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+        ranked = self._ranked(thin, plan)
+        first = durable(self._edge(ranked.withColumn("before", F.lit(0).cast("long")), _first_bin(), plan.select("source")).withColumnRenamed("bin", "bin1"))
+        inside = _with_plan(ranked, first, self.small).where(_first_bin() == F.col("bin1"))
+        second = durable(self._edge(inside, _second_bin(), first.select("source", "bin1")).withColumnRenamed("bin", "bin2"))
+        last = _with_plan(ranked, second, self.small).where((_first_bin() == F.col("bin1")) & (_second_bin() == F.col("bin2")))
+        run = Window.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
+        taken = last.withColumn("upto", F.sum("size").over(run) + F.col("before")).where(F.col("upto") - F.col("size") / 2 <= F.col("rest"))
+        limits = taken.groupBy("source").agg(F.max(_place()).alias("limit")).withColumnRenamed("source", "_s")
+        bounds = second.join(limits, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "before").withColumnRenamed("source", "_s")
+        #: One row for each source: its plan, and the threshold up to which documents get one more copy.
+        self.bounds = durable(plan.join(bounds, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
+
+    def _ranked(self, rows: DataFrame, plan: DataFrame) -> DataFrame:
+        u = _uniform(F.col("doc_id"))
+        up, down = u * (1 - F.col("chance")), (1 - u) * F.col("chance")
+        return _with_plan(rows, plan, self.small).withColumn("rank", up / (up + down))
+
+    @staticmethod
+    def _edge(rows: DataFrame, bins: Column, known: DataFrame) -> DataFrame:
+        """The first bin of each source in which the words run out, and the words before it."""
+        hist = rows.groupBy("source", bins.alias("bin")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("start"))
+        w = Window.partitionBy("source").orderBy("bin")
+        over = hist.withColumn("upto", F.sum("words").over(w) + F.col("start")).where(F.col("upto") > F.col("rest"))
+        edges = over.groupBy("source").agg(F.min(F.struct(F.col("bin"), (F.col("upto") - F.col("words")).alias("before"))).alias("e")).select(F.col("source").alias("_s"), F.col("e.bin").alias("bin"), F.col("e.before").alias("before"))
+        return known.join(edges, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+
+    def decide(self, rows: DataFrame) -> DataFrame:
+        """rows (doc_id, source, size and others) with source_size, target and copies."""
+        out = self._ranked(rows, self.bounds)
+        within = (_second_bin() < F.col("bin2")) | ((_second_bin() == F.col("bin2")) & F.coalesce(_place() <= F.col("limit"), F.lit(False)))
+        extra = (_first_bin() < F.col("bin1")) | ((_first_bin() == F.col("bin1")) & within)
+        return out.select(*rows.columns, "source_size", "target", (F.col("whole") + F.when(extra, 1).otherwise(0)).alias("copies"))
+
+
+def _first_bin() -> Column:
+    return F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)).cast("int")
+
+
+def _second_bin() -> Column:
+    return F.least(F.floor((F.col("rank") * BINS - _first_bin()) * BINS), F.lit(BINS - 1)).cast("int")
+
+
+def _place() -> Column:
+    """What orders the documents of a source."""
+    return F.struct(F.col("rank"), F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"), F.col("size"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[Column, Column, Column]:
+    words = F.regexp_count(docs[text_col].cast("string"), F.lit(WORD))
+    return docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), F.coalesce(words, F.lit(0)).cast("long").alias("size")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken for each row.
 
@@ -76,37 +135,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id"
     repeat an id rank equally and are told apart by size; null ids rank as one id. Empty tables give an empty
     result, and a source without words takes none. Other columns are not read.
     """
-    text = docs[text_col].cast("string")
-    thin = durable(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
-    sizes = thin.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = durable(allocate(sizes, weights, cap))
-    small = plan.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    u = _uniform(F.col("doc_id"))
-    up, down = u * (1 - F.col("chance")), (1 - u) * F.col("chance")
-    ranked = _with_plan(thin, plan, small).withColumn("rank", up / (up + down))
-    bin1 = F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)).cast("int")
-    bin2 = F.least(F.floor((F.col("rank") * BINS - bin1) * BINS), F.lit(BINS - 1)).cast("int")
-    full = lambda w: F.sum("words").over(w)
-
-    def edge(rows: DataFrame, bins: Column, known: DataFrame) -> DataFrame:
-        """The first bin of each source in which the words run out, and the words before it."""
-        hist = rows.groupBy("source", bins.alias("bin")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("start"))
-        w = Window.partitionBy("source").orderBy("bin")
-        over = hist.withColumn("upto", full(w) + F.col("start")).where(F.col("upto") > F.col("rest"))
-        return known.join(over.groupBy("source").agg(F.min(F.struct(F.col("bin"), (F.col("upto") - F.col("words")).alias("before"))).alias("e")).select(F.col("source").alias("_s"), F.col("e.bin").alias("bin"), F.col("e.before").alias("before")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-
-    first = durable(edge(ranked.withColumn("before", F.lit(0).cast("long")), bin1, plan.select("source")).withColumnRenamed("bin", "bin1"))
-    inside = _with_plan(ranked, first, small).where(bin1 == F.col("bin1"))
-    second = durable(edge(inside, bin2, first.select("source", "bin1")).withColumnRenamed("bin", "bin2"))
-    last = _with_plan(ranked, second, small).where((bin1 == F.col("bin1")) & (bin2 == F.col("bin2")))
-    run = Window.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
-    key = F.struct(F.col("rank"), F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"), F.col("size"))
-    taken = last.withColumn("upto", F.sum("size").over(run) + F.col("before")).where(F.col("upto") - F.col("size") / 2 <= F.col("rest"))
-    limits = taken.groupBy("source").agg(F.max(key).alias("limit")).withColumnRenamed("source", "_s")
-    bounds = second.join(limits, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "before")
-    out = _with_plan(ranked, bounds, small)
-    extra = (bin1 < F.col("bin1")) | ((bin1 == F.col("bin1")) & ((bin2 < F.col("bin2")) | ((bin2 == F.col("bin2")) & F.coalesce(key <= F.col("limit"), F.lit(False)))))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.when(extra, F.col("size")).otherwise(F.lit(0))).cast("long").alias("taken"))
+    thin = durable(docs.select(*_sized(docs, id_col, text_col, source_col)))
+    return Mix(thin, weights, cap).decide(thin).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as the mix takes them: each row as often as it has copies, all columns as they are.
+
+    Rows without words have nothing to take and go.
+    """
+    keys = _sized(docs, id_col, text_col, source_col)
+    plan = Mix(durable(docs.select(*keys)), weights, cap)
+    rows = plan.decide(docs.select(*keys, F.struct(*docs.columns).alias("row"))).where("size > 0 AND copies > 0")
+    return rows.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
 ORACLE = f"""
