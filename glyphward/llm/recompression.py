@@ -27,6 +27,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _times(n: int, by: np.uint64) -> np.uint64:
+    return np.uint64(n * int(by) & (1 << 64) - 1)
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64, for i below n; base is odd."""
     up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
@@ -107,7 +111,7 @@ class Symbols:
         n = len(self.name)
         if n < 2:
             return self
-        is_right = mix(self.name + np.uint64(tag) * _A) & np.uint64(1) == 1
+        is_right = mix(self.name + _times(tag, _A)) & np.uint64(1) == 1
         joins = np.zeros(n, bool)  # with the next one
         joins[:-1] = ~is_right[:-1] & is_right[1:] & (self.doc[1:] == self.doc[:-1])
         joined = np.zeros(n, bool)
@@ -147,7 +151,7 @@ def anchors(words: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray
         s, p = levels[k], np.flatnonzero(open_)
         if not len(p):
             break
-        rank = mix(s.name + np.uint64(k + 1) * _B)
+        rank = mix(s.name + _times(k + 1, _B))
         low = np.searchsorted(s.low, p)  # the first symbol decided from p on; low and high grow along the symbols
         high = np.searchsorted(s.high, p + window - 1, side="right") - 1
         has = low <= high

@@ -148,38 +148,60 @@ def duplicate_windows(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     return np.concatenate((doc[later], np.repeat(lid, lsize))), np.concatenate((crc[later], np.repeat(lcrc, lsize))), np.concatenate((at[later], np.repeat(lat, lsize).astype(np.int64) + step))
 
 
-def _spans(ids, crcs, at):
-    """One (id, crc, spans) for each document; spans are pairs of first start and number of starts."""
+def _runs(ids, crcs, at, size):
+    """Sorted by document: runs of starts, overlapping ones joined, and where each document's runs begin."""
     order = np.lexsort((at, crcs, ids))
-    ids, crcs, at = ids[order], crcs[order], at[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (crcs[1:] != crcs[:-1]) | (at[1:] > at[:-1] + 1)
+    ids, crcs, at, size = ids[order], crcs[order], at[order], size[order]
+    other = np.ones(len(ids), bool)
+    other[1:] = (ids[1:] != ids[:-1]) | (crcs[1:] != crcs[:-1])
+    # the furthest end so far within the document: ends grow with a large step from document to document
+    step = np.int64(1) << 33
+    far = np.maximum.accumulate(at + size + np.cumsum(other) * step) - np.cumsum(other) * step
+    new = other.copy()
+    new[1:] |= at[1:] > far[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(ids)) - 1
-    pairs = np.stack((at[first], at[last] - at[first] + 1), axis=1).astype("<u4")
-    doc = np.ones(len(first), bool)
-    doc[1:] = (ids[first][1:] != ids[first][:-1]) | (crcs[first][1:] != crcs[first][:-1])
-    cut = np.flatnonzero(doc)
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(first)], strict=True):
-        yield int(ids[first[a]]), int(crcs[first[a]]), pairs[a:b].tobytes()
+    return ids[first], crcs[first], at[first], far[last] - at[first], np.flatnonzero(other[first])
 
 
-def kept_words(text: str | None, spans: list[bytes], window: int = WINDOW) -> tuple[int, list[bytes]]:
+def span_blocks(ids, crcs, at, tasks: int):
+    """(task, block) with the duplicate windows of all documents that the task is to gather."""
+    ids, crcs, at, size, _ = _runs(ids, crcs, at, np.ones(len(ids), np.int64))
+    to = (mix(ids.astype(np.uint64) ^ crcs.astype(np.uint64) << np.uint64(17)) % np.uint64(tasks)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    cut = np.flatnonzero(np.diff(to[order], prepend=-1))
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+        x = order[a:b]
+        yield int(to[x[0]]), b"".join((ids[x].astype("<i8").tobytes(), crcs[x].astype("<u4").tobytes(), at[x].astype("<u4").tobytes(), size[x].astype("<u4").tobytes()))
+
+
+def gathered(blocks: list[bytes]):
+    """(id, crc, spans) for each document in the blocks; spans are pairs of first start and number of starts."""
+    parts = []
+    for b in blocks:
+        n = len(b) // 20
+        parts.append((np.frombuffer(b, "<i8", n), *(np.frombuffer(b, "<u4", n, (8 + 4 * k) * n).astype(np.int64) for k in range(3))))
+    ids, crcs, at, size, first = _runs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    pairs = np.stack((at, size), axis=1).astype("<u4")
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True):
+        yield int(ids[a]), int(crcs[a]), pairs[a:b].tobytes()
+
+
+def kept_words(text: str | None, spans: bytes | None, window: int = WINDOW) -> tuple[int, list[bytes]]:
     """The number of words of a text, and those that no duplicate window covers."""
     words = (text or "").encode().split()
     if not spans:
         return len(words), words
     change = np.zeros(len(words) + window + 1, np.int64)
-    for s in spans:
-        for a, n in np.frombuffer(s, "<u4").reshape(-1, 2).astype(np.int64):
-            change[a] += 1
-            change[a + n - 1 + window] -= 1
+    for a, n in np.frombuffer(spans, "<u4").reshape(-1, 2).tolist():
+        change[a] += 1
+        change[a + n - 1 + window] -= 1
     free = np.cumsum(change)[: len(words)] == 0
     return len(words), [words[i] for i in np.flatnonzero(free)]
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """id, crc, spans from docs (id, crc, text): rows with parts of the spans of a document's duplicate windows."""
+    """id, crc, spans from docs (id, crc, text): a row for each document that has duplicate windows."""
     spark = docs.sparkSession
     receivers = shuffles(spark)
     # A label for each receiver that Spark's hash deals to a task of its own.
@@ -208,13 +230,18 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield blocks(held)
 
     def receive(batches):
+        blocks = [b for batch in batches for b in batch.column(1).to_pylist()]
+        found = list(span_blocks(*duplicate_windows(blocks), receivers)) if blocks else []
+        yield pa.RecordBatch.from_arrays([pa.array([int(label[r]) for r, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], names=["receiver", "block"])
+
+    def gather(batches):
         blocks = [b for batch in batches for b in batch.column(1).to_pylist()]
         if blocks:
-            rows = list(_spans(*duplicate_windows(blocks)))
+            rows = list(gathered(blocks))
             for k in range(0, len(rows), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + 10_000]], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["id", "crc", "spans"])
 
-    return docs.where("text IS NOT NULL").select("id", "crc", "text").mapInArrow(send, "receiver long, block binary").repartition(receivers, "receiver").mapInArrow(receive, "id long, crc long, spans binary")
+    return docs.where("text IS NOT NULL").select("id", "crc", "text").mapInArrow(send, "receiver long, block binary").repartition(receivers, "receiver").mapInArrow(receive, "receiver long, block binary").repartition(receivers, "receiver").mapInArrow(gather, "id long, crc long, spans binary")
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -231,7 +258,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     text = docs[text_col].cast("string")
     keyed = docs.select("*", F.coalesce(docs[id_col].cast("long"), F.lit(_LAST_ID)).alias("__id"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("__crc"))
     spans = duplicate_spans(keyed.select(F.col("__id").alias("id"), F.col("__crc").alias("crc"), F.col(text_col).cast("string").alias("text")), window)
-    spans = spans.groupBy("id", "crc").agg(F.collect_list("spans").alias("__spans")).withColumnsRenamed({"id": "__id", "crc": "__crc"})
+    spans = spans.withColumnsRenamed({"id": "__id", "crc": "__crc", "spans": "__spans"})
     others = [f for f in docs.schema if f.name not in (text_col, "n_words", "n_removed")] if not digest else [f for f in docs.schema if f.name == id_col]
     carried = keyed.select("__id", "__crc", *(F.col(f"`{f.name}`") for f in others), F.col(text_col).cast("string").alias("__text"))
 
@@ -251,7 +278,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
             kept, total, gone = [], [], []
             for z, s in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 t = None if z is None else open_(z).decode()
-                n, words = kept_words(t, s or [], window)
+                n, words = kept_words(t, s, window)
                 total.append(n)
                 gone.append(n - len(words))
                 kept.append(hashlib.sha256(b" ".join(words)).hexdigest() if digest else t if n == len(words) else b" ".join(words).decode())
