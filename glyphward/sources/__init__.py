@@ -1,0 +1 @@
+"""Where Unicode tables come from: ICU in Spark's jars (icu), or a directory of Unicode data files (ucd)."""
