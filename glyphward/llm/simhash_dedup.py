@@ -139,10 +139,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result; other columns are not read.
     """
     own = durable(fingerprints(docs, id_col, text_col))
-    least = durable(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    least = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(least))
     label = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    label = durable(label)
     low = label.groupBy("root").agg(F.min("least").alias("component_id")).select(F.bitwise_not("root").alias("k"), "component_id")
     named = label.select("fp", F.bitwise_not("root").alias("k")).join(low.hint("merge"), "k").select(F.bitwise_not("fp").alias("k"), "component_id")
     out = own.withColumn("k", F.bitwise_not("fp")).join(named.hint("merge"), "k")
