@@ -26,7 +26,7 @@ from .recompression import anchors, mix, window_hashes, words_of
 
 WINDOW = 20
 #: Bytes of text that are recompressed in one piece; a longer document makes a piece of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _HASH, _NAME = 7, 5
 _LAST_ID = (1 << 63) - 1
 _HEAD = struct.Struct("<4I")
