@@ -43,3 +43,17 @@ def pass_batches(rows, schema):
     import pyarrow as pa
 
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+
+
+class SeenTwice:
+    """Whether a word was (probably) seen before: memos keep only such words, so rare ones take no memory."""
+
+    def __init__(self, slots: int = 1 << 24):
+        self.marks, self.mask = bytearray(slots), slots - 1
+
+    def __call__(self, word: str) -> bool:
+        at = hash(word) & self.mask
+        if self.marks[at]:
+            return True
+        self.marks[at] = 1
+        return False

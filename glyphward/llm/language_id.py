@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import SeenTwice, crc_fold
 
 ORDER = 5
 #: Labelled documents of each language that training may read, and languages.
 SAMPLE = 400
 MAX_LANGUAGES = 200
-MEMO = 1_200_000
+MEMO = 400_000
 HELD_OUT = 2
 UNKNOWN = "und"
 #: Bits a character above the highest entropy of held-back training documents at which a document is rejected.
@@ -135,30 +135,36 @@ class Model:
         return np.add.reduceat(-np.log2(p), starts, axis=0)
 
     def scorer(self):
-        """texts -> (entropies by language, has a letter) for each; keeps a bounded memo of words."""
+        """texts -> (entropies by language, has a letter) for each; keeps a bounded memo of words seen twice."""
         row: dict[str, int] = {}
+        seen = SeenTwice()
         bits = np.empty((MEMO, len(self.languages)), np.float32)
 
         def entropies(texts: list[str]) -> list[tuple[np.ndarray | None, bool]]:
+            parts = [t.lower().split() for t in texts]
+            new = list({w for p in parts for w in p if w not in row})
+            extra = [self.word_bits(new[i : i + 10_000]).astype(np.float32) for i in range(0, len(new), 10_000)]
+            table = np.concatenate([bits[: len(row)], *extra]) if extra else bits
+            base = len(row)
+            row.update(zip(new, range(base, base + len(new)), strict=True))
             out = []
-            for t in texts:
-                words = t.lower().split()
-                new = [w for w in dict.fromkeys(words) if w not in row]
-                if len(row) + len(new) > MEMO:
-                    row.clear()
-                    new = list(dict.fromkeys(words))
-                for i in range(0, len(new), 10_000):
-                    some = new[i : i + 10_000]
-                    if len(row) + len(some) > MEMO:  # a text of more distinct words than the memo holds
-                        return [*out, *(_alone(self, x) for x in texts[len(out) :])]
-                    bits[len(row) : len(row) + len(some)] = self.word_bits(some)
-                    row.update(zip(some, range(len(row), len(row) + len(some)), strict=True))
+            for t, words in zip(texts, parts, strict=True):
                 chars = len(words) + sum(map(len, words))
                 if not chars:
                     out.append((None, False))
                     continue
                 ids = np.fromiter(map(row.__getitem__, words), np.int64, len(words))
-                out.append((bits[ids].sum(axis=0, dtype=np.float64) / chars, any(map(str.isalpha, t))))
+                out.append((table[ids].sum(axis=0, dtype=np.float64) / chars, any(map(str.isalpha, t))))
+            stay = [w for w in new if seen(w)]
+            kept = table[[row[w] for w in stay]] if stay else table[:0]
+            for w in new:
+                del row[w]
+            if base + len(stay) > MEMO:
+                row.clear()
+                base = 0
+            stay = stay[:MEMO]
+            bits[base : base + len(stay)] = kept[: len(stay)]
+            row.update(zip(stay, range(base, base + len(stay)), strict=True))
             return out
 
         return entropies
@@ -172,15 +178,6 @@ class Model:
         return self.names[best], share, float(entropy[best]), bool(entropy[best] > self.bound)
 
 
-def _alone(model: Model, text: str) -> tuple[np.ndarray | None, bool]:
-    """The entropies of one text without a memo."""
-    words, total = text.lower().split(), np.zeros(len(model.languages))
-    for i in range(0, len(words), 10_000):
-        total += model.word_bits(words[i : i + 10_000]).sum(axis=0)
-    chars = len(words) + sum(map(len, words))
-    return (total / chars, any(map(str.isalpha, text))) if chars else (None, False)
-
-
 def fit(texts: list[str], langs: list[str]) -> Model:
     """Models from all rows but every fifth, temperature and bound from these."""
     if not texts:
