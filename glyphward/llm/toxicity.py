@@ -23,12 +23,16 @@ from .common import crc_fold
 
 #: Labelled rows of each class that training may read.
 SAMPLE = 2500
-WINDOW = 6
+#: Words of a window, and from one window to the next: each word is seen in several neighbourhoods.
+WINDOW, STRIDE = 8, 3
 LEVEL = 4
-TOXIC_BYTES, ORDINARY_BYTES = 400, 1500
+TOXIC_BYTES, ORDINARY_BYTES = 200, 1000
 THRESHOLD = 0.3
+#: A stem must stand in one of so many toxic documents to count.
+SUPPORT = 40
 HELD_OUT = 2
-CARRIER = b" the quick brown fox jumps over the lazy dog and then some more of it"
+CARRIER = b" a carrier before each window"
+FEATURES = 8
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -42,10 +46,26 @@ def _grams(text: str) -> set[str]:
     return out
 
 
+def _distinct(texts: list[str]) -> list[str]:
+    """texts without near copies of earlier ones: those of whose runs of eight words over a third were met before."""
+    met: set[tuple[str, ...]] = set()
+    out = []
+    for t in texts:
+        w = t.split()
+        runs = {tuple(w[i : i + 8]) for i in range(max(1, len(w) - 7))}
+        if 3 * len(runs & met) <= len(runs):
+            out.append(t)
+        met |= runs
+    return out
+
+
 def _content(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """Dictionary contents: what sets toxic text apart, then what is frequent in ordinary text; the best stands last."""
+    toxic, ordinary = _distinct(toxic), _distinct(ordinary)
     bad, good = Counter(g for t in toxic for g in _grams(t)), Counter(g for t in ordinary for g in _grams(t))
-    odds = {g: math.log((c + 0.5) / (len(toxic) + 1)) - math.log((good[g] + 0.5) / (len(ordinary) + 1)) for g, c in bad.items() if c >= max(4, len(toxic) // 40)}
+    odds = {g: math.log((c + 0.5) / (len(toxic) + 1)) - math.log((good[g] + 0.5) / (len(ordinary) + 1)) for g, c in bad.items() if c >= max(4, len(toxic) // SUPPORT)}
+    # a stem that stands in twice as many documents stands for its longer forms, too
+    odds = {g: o for g, o in odds.items() if not any(bad[g[:k]] >= 2 * bad[g] and g[:k] in odds for k in range(5, len(g)))}
     worth = {g: o * bad[g] * (len(g.encode()) - 2.5) for g, o in odds.items() if o > 4}
 
     def pick(ranked, most: int) -> str:
@@ -81,17 +101,17 @@ class Model:
         return Model, (self.toxic, self.ordinary, self.weights)
 
     def features(self, text: str | None) -> list[float]:
-        """Of the windows' differences: the largest, the second, the mean of the four largest, how many are high (log), their share, and a one."""
+        """Of the windows' differences: the largest, the second, the mean of the four largest, how many are high and their share, the share and excess of those above noise, and a one."""
         words = (text or "").lower().encode().split()
         toxic, ordinary, diffs = self.compress_toxic, self.compress_ordinary, []
-        for i in range(0, len(words), WINDOW):
+        for i in range(0, max(len(words) - WINDOW + STRIDE, min(len(words), 1)), STRIDE):
             window = CARRIER + b" " + b" ".join(words[i : i + WINDOW]) + b" "
             diffs.append(len(ordinary(window)) - len(toxic(window)))
         if not diffs:
-            return [0.0] * 6 + [1.0]
-        d = sorted(diffs, reverse=True)
+            return [0.0] * (FEATURES - 1) + [1.0]
+        d, n = sorted(diffs, reverse=True), len(diffs)
         high, some = sum(x >= 5 for x in d), sum(x >= 3 for x in d)
-        return [float(d[0]), float(d[min(1, len(d) - 1)]), sum(d[:4]) / min(4, len(d)), math.log1p(high), high / len(d), some / len(d), 1.0]
+        return [float(d[0]), float(d[min(1, n - 1)]), sum(d[:4]) / min(4, n), math.log1p(high), high / n, some / n, math.log1p(some) - 0.5 * math.log1p(n), 1.0]
 
     def score(self, text: str | None) -> float:
         z = sum(a * b for a, b in zip(self.weights, self.features(text), strict=True))
@@ -104,7 +124,7 @@ def fit(texts: list[str | None], toxic: list[int], weight: list[float]) -> Model
     for t, y in zip(texts[::2], toxic[::2], strict=True):
         rows[y].append(t or "")
     model = Model(*_content(rows[1], rows[0]))
-    x = np.array([model.features(t) for t in texts[1::2]] or [[0.0] * 6 + [1.0]])
+    x = np.array([model.features(t) for t in texts[1::2]] or [[0.0] * (FEATURES - 1) + [1.0]])
     y, w = np.array(toxic[1::2] or [0], float), np.array(weight[1::2] or [1.0])
     scale = np.maximum(np.abs(x).max(axis=0), 1.0)
     x = x / scale
