@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SeenTwice, crc_fold
+from .common import SeenTwice, crc_fold, small_batches
 
 ORDER = 5
 #: Labelled documents of each language that training may read, and languages.
@@ -240,7 +240,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             types = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=["doc_id", "held_out", "lang_pred", "score", "entropy", "rejected"])
 
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), (crc_fold(docs[id_col].cast("long")) == HELD_OUT).alias("held_out"), docs[text_col].cast("string").alias("text"))
+    base = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), (crc_fold(docs[id_col].cast("long")) == HELD_OUT).alias("held_out"), docs[text_col].cast("string").alias("text"))
     return base.mapInArrow(run, SCHEMA)
 
 
@@ -261,4 +261,4 @@ def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text", lang_co
             columns = [pa.array(langs, pa.string()) if k == lang_at else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array([not r[3] for r in rows], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WIDTH = 192
 TAIL = 16
 PREFIX = "sha256:"
@@ -194,7 +196,7 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     store of all payloads. Copies share one stored payload; repeated rows and null ids stay; an empty table
     gives an empty result; other columns are not read.
     """
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    base = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
     def pages(batches):
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffles
+from .common import shuffles, small_batches
 from .recompression import anchors, mix, window_hashes, words_of
 
 WINDOW = 20
@@ -255,7 +255,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     null text has no words and stays null. A text of fewer words than a window stays whole. An empty table
     gives an empty result. Columns of docs named n_words or n_removed are replaced.
     """
-    text = docs[text_col].cast("string")
+    text = small_batches(docs)[text_col].cast("string")
     keyed = docs.select("*", F.coalesce(docs[id_col].cast("long"), F.lit(_LAST_ID)).alias("__id"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("__crc"))
     spans = duplicate_spans(keyed.select(F.col("__id").alias("id"), F.col("__crc").alias("crc"), F.col(text_col).cast("string").alias("text")), window)
     spans = spans.withColumnsRenamed({"id": "__id", "crc": "__crc", "spans": "__spans"})
