@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: A word: what stands between space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch; texts may be long, so batches stay far below Spark's 10,000.
-BATCH_ROWS = 256
+BATCH_ROWS = 128
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -25,12 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's shared checkpoint folder, so that a lost executor costs nothing."""
+    """df, computed once and kept in the cluster's shared checkpoint folder, so that a lost executor costs nothing.
+
+    Rows are dealt out to files of the advisory size first: few rows make few files, whatever made them.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="glyphward-"))
-    return df.checkpoint(eager=True)
+    return df.hint("rebalance").checkpoint(eager=True)
 
 
 def shuffles(spark: SparkSession) -> int:
@@ -50,6 +53,21 @@ def pass_batches(rows, schema):
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
 
+def give_back() -> None:
+    """Returns memory that a Python worker no longer uses to the system; workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class SeenTwice:
     """Whether a word was (probably) seen before: memos keep only such words, so rare ones take no memory."""
 

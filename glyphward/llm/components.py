@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-EDGES_PER_FILE = 500_000
-
 
 def _lowest(edges: DataFrame) -> DataFrame:
     """edges (u, v) with m, the lowest neighbour of u or u itself.
 
-    The key of the join is not u itself, but its complement, while the minimum was grouped by u: both sides are dealt anew and the rows
-    of a node with very many neighbours can be split among tasks.
+    The join's key is the complement of u, while the minimum was grouped by u: both sides are dealt anew, and
+    the rows of a node with very many neighbours can be split among tasks.
     """
     m = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.bitwise_not("u").alias("k"), F.least("m", "u").alias("m"))
     return edges.withColumn("k", F.bitwise_not("u")).join(m.hint("merge"), "k").drop("k")
@@ -26,16 +24,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     Links with a null end and from a node to itself count for nothing; links may repeat.
     """
     edges = durable(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state, files = None, -(-edges.count() // EDGES_PER_FILE)
+    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _lowest(both).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = _lowest(large)
         small = low.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = durable(small.coalesce(max(1, files)))  # few links need few files in shared storage
+        edges = durable(small)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")).first()
         if now == state:
             break
-        state, files = now, -(-now["n"] // EDGES_PER_FILE)
+        state = now
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
