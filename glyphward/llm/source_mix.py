@@ -146,8 +146,9 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_i
     """
     keys = _sized(docs, id_col, text_col, source_col)
     plan = Mix(durable(docs.select(*keys)), weights, cap)
-    rows = plan.decide(docs.select(*keys, F.struct(*docs.columns).alias("row"))).where("size > 0 AND copies > 0")
-    return rows.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
+    rows = plan.decide(docs.select(*keys, F.struct(*docs.columns).alias("row")))
+    copies = F.when(F.col("size") > 0, F.col("copies").cast("int")).otherwise(0)
+    return rows.select("row", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))).alias("copy")).select("row.*")
 
 
 ORACLE = f"""
