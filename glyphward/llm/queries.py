@@ -58,4 +58,4 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_source_mix, op4_language_id, op5_posting_lists, op6_toxicity, op7_simhash_dedup, op8_piece_codec, op9_token_counts, op10_media_sequences)}
-ORACLE_SQL = {"op1_url_filter": url_filter.oracle(), "op3_source_mix": source_mix.ORACLE}
+ORACLE_SQL = {"op1_url_filter": url_filter.oracle(), "op2_substring_dedup": substring_dedup.ORACLE, "op3_source_mix": source_mix.ORACLE}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffles, small_batches
+from .common import WORD, give_back, shuffles, small_batches
 from .recompression import anchors, mix, window_hashes, words_of
 
 WINDOW = 20
@@ -228,11 +228,14 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     held, size = [], 0
         if held:
             yield blocks(held)
+        give_back()
 
     def receive(batches):
         blocks = [b for batch in batches for b in batch.column(1).to_pylist()]
         found = list(span_blocks(*duplicate_windows(blocks), receivers)) if blocks else []
         yield pa.RecordBatch.from_arrays([pa.array([int(label[r]) for r, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], names=["receiver", "block"])
+        del blocks, found
+        give_back()
 
     def gather(batches):
         blocks = [b for batch in batches for b in batch.column(1).to_pylist()]
@@ -294,3 +297,14 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     if digest:
         return out.select(F.col(id_col).cast("long").alias("doc_id"), "n_words", "n_removed", F.col("__kept").alias("kept_sha256"))
     return out.select(*(F.col("__kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "n_removed")), "n_words", "n_removed")
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p : p + {WINDOW - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS p FROM d)),
+dup AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS n FROM win) WHERE n > 1),
+cov AS (SELECT DISTINCT doc_id, unnest(range(p, p + {WINDOW})) AS i FROM dup),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM word ANTI JOIN cov USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
