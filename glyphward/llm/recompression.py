@@ -20,6 +20,11 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = (np.arange(1, 257, dtype=np.uint64) * _A) ^ (np.arange(1, 257, dtype=np.uint64) * _B >> np.uint64(7))
 
 
+_WORD_BASE = 0x5851F42D4C957F2D
+#: Bytes whose words are hashed together.
+BLOCK = 1 << 17
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words in which every bit counts."""
     x = (x ^ (x >> np.uint64(32))) * _A
@@ -50,10 +55,17 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     first[1:] &= ~inside[:-1] | border[1:-1]
     last[:-1] &= ~inside[1:] | border[1:-1]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(0x5851F42D4C957F2D, len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up, out=sums[1:])
-    h = (sums[b] - sums[a]) * down[a]
+    h, i = np.empty(len(a), np.uint64), 0
+    up, down = _powers(_WORD_BASE, min(len(data), 2 * BLOCK))
+    while i < len(a):  # some words at a time, so that arrays over bytes stay small
+        j = max(i + 1, int(np.searchsorted(b, a[i] + BLOCK, side="right")))
+        low, size = a[i], int(b[j - 1] - a[i])
+        if size > len(up):
+            up, down = _powers(_WORD_BASE, size)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTE[data[low : low + size]] * up[:size], out=sums[1:])
+        h[i:j] = (sums[b[i:j] - low] - sums[a[i:j] - low]) * down[a[i:j] - low]
+        i = j
     return mix(h + (b - a).astype(np.uint64) * _B), np.searchsorted(offsets, a, side="right") - 1
 
 
