@@ -25,7 +25,7 @@ ORDER = 5
 #: Labelled documents of each language that training may read, and languages.
 SAMPLE = 400
 MAX_LANGUAGES = 200
-MEMO = 400_000
+MEMO = 300_000
 HELD_OUT = 2
 UNKNOWN = "und"
 #: Bits a character above the highest entropy of held-back training documents at which a document is rejected.
@@ -103,18 +103,12 @@ class Language:
         return Language(grams, contexts)
 
 
-def _joined(parts: list[tuple[np.ndarray, np.ndarray]], default: float) -> tuple[np.ndarray, np.ndarray]:
-    """The languages' sorted arrays as one, with a row of values for each hash and a last row of defaults."""
-    keys = np.unique(np.concatenate([k for k, _ in parts]))
+def _joined(keys: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], default: float) -> np.ndarray:
+    """The languages' values at the union of their sorted hashes, a column for each, and a last row of defaults."""
     values = np.full((len(keys) + 1, len(parts)), default)
     for column, (k, v) in enumerate(parts):
         values[np.searchsorted(keys, k), column] = v
-    return keys, values
-
-
-def _rows(keys: np.ndarray, values: np.ndarray, query: np.ndarray) -> np.ndarray:
-    i = np.searchsorted(keys, query)
-    return values[np.where(keys[np.minimum(i, len(keys) - 1)] == query, i, len(keys))]
+    return values
 
 
 class Model:
@@ -125,14 +119,30 @@ class Model:
     def word_bits(self, words: list[str]) -> np.ndarray:
         """Bits of each word in each language."""
         if self._orders is None:
-            self._orders = [(_joined([m.grams[k] for m in self.languages], 0.0), _joined([m.contexts[k] for m in self.languages], 1.0)) for k in range(ORDER)]
+            self._orders = [self._order(k) for k in range(1, ORDER + 1)]
+            self._none = np.array([m.contexts[0][1][0] for m in self.languages])  # the share left by unigrams
         codes, word, scored = _codes(words)
-        full, before, of = _hashes(codes, scored), _contexts(codes, scored), word[scored]
-        p = np.full((len(of), len(self.languages)), FLAT)
-        for k, (grams, contexts) in enumerate(self._orders):
-            p = _rows(*grams, full[k + 1]) + _rows(*contexts, before[k]) * p
-        starts = np.flatnonzero(np.diff(of, prepend=-1))
-        return np.add.reduceat(-np.log2(p), starts, axis=0)
+        scored[:-1] |= scored[1:]  # and the place before each word, as a context
+        at = np.flatnonzero(scored)
+        first = np.ones(len(at), bool)
+        first[1:] = np.diff(word[at]) != 0
+        p = np.full((len(at), len(self.languages)), FLAT)
+        share = self._none[None, :]
+        for (keys, grams, contexts), h in zip(self._orders, _hashes(codes, scored)[1:], strict=True):
+            i = np.searchsorted(keys, h)
+            i = np.where(keys[np.minimum(i, len(keys) - 1)] == h, i, len(keys))
+            p = grams[i] + share * p
+            if contexts is not None:
+                share = np.roll(contexts[i], 1, axis=0)  # what the characters up to the one before leave
+        bits = -np.log2(np.where(first[:, None], 1.0, p))
+        return np.add.reduceat(bits, np.flatnonzero(first), axis=0)
+
+    def _order(self, k: int):
+        """Sorted hashes of k characters, with their values as n-grams and as contexts of the next order."""
+        grams = [m.grams[k - 1] for m in self.languages]
+        contexts = [m.contexts[k] for m in self.languages] if k < ORDER else []
+        keys = np.unique(np.concatenate([x for x, _ in grams + contexts]))
+        return keys, _joined(keys, grams, 0.0), _joined(keys, contexts, 1.0) if contexts else None
 
     def scorer(self):
         """texts -> (entropies by language, has a letter) for each; keeps a bounded memo of words seen twice."""
@@ -204,22 +214,28 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` labelled documents of each language outside the held-out fold."""
+    """A model from about `sample` labelled documents of each language outside the held-out fold, never more.
+
+    One pass counts the labels, one picks ids whose hash falls below each language's share.
+    """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(crc_fold(F.col("doc_id")) != HELD_OUT)
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
+    rows = rows.where("lang IS NOT NULL").where(crc_fold(F.col("doc_id")) != HELD_OUT)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    key = F.xxhash64("doc_id")
-    thin = [rows.where(F.col("lang") == n).select("doc_id", key.alias("key")).orderBy("key", "doc_id").limit(sample) for n in langs]
-    if not thin:
-        raise ValueError("no labelled document to learn from")
-    ids = thin[0]
-    for t in thin[1:]:
-        ids = ids.unionByName(t)
-    got = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").dropDuplicates(["doc_id"]).collect()  # at most sample * languages ids
-    got.sort(key=lambda r: (r["lang"], r["doc_id"]))
-    return fit([r["text"] for r in got], [r["lang"] for r in got])
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    chosen = F.lit(False)
+    for lang, n in counts.items():
+        chosen = F.when(F.col("lang") == lang, place < int((1 << 40) * min(1.0, 1.2 * sample / n))).otherwise(chosen)
+    got = rows.where(chosen & F.col("text").isNotNull()).dropDuplicates(["doc_id"]).select("*", place.alias("place")).collect()  # about 1.2 * sample ids of each language
+    got.sort(key=lambda r: (r["lang"], r["place"], r["doc_id"] or 0))
+    texts, langs, taken = [], [], Counter()
+    for r in got:
+        if taken[r["lang"]] < sample:
+            taken[r["lang"]] += 1
+            texts.append(r["text"])
+            langs.append(r["lang"])
+    return fit(texts, langs)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
