@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions.kernels import Unicode, register, tables_of
 from .functions.script_sets import ScriptSets
 from .operators import codepoints, findings, lookalikes
+from .plans import dims
 
 _ZWJ, _ARABIC_ONE, _LIGATURE = "‍", "١", "ﬁ"
 _CYRILLIC_O, _CYRILLIC_E = "о", "е"
@@ -298,6 +299,16 @@ def script_properties(spark, sf_dir):
     return cps.select("cp", u.script_of("cp").alias("script"), F.array_join(u.extensions_of("cp"), " ").alias("extensions"), F.array_join(u.augmented_of("cp"), " ").alias("augmented"))
 
 
+@query("SELECT '16.0.0' AS unicode_version, 174 AS scripts, 30 AS recommended, 6355 AS confusables, 961 AS composites")
+def unicode_tables(spark, sf_dir):
+    """The version of the tables in use (that of Spark's ICU) and the size of some."""
+    t = tables_of(spark)
+    scripts, confusables, composites = (d(spark, t) for d in (dims.dim_script, dims.dim_confusable, dims.dim_compose))
+    counts = scripts.agg(F.count(F.lit(1)).cast("int").alias("scripts"), F.count_if("recommended").cast("int").alias("recommended"))
+    counts = counts.crossJoin(confusables.agg(F.count(F.lit(1)).cast("int").alias("confusables"))).crossJoin(composites.agg(F.count(F.lit(1)).cast("int").alias("composites")))
+    return counts.select(unicode(spark).version().alias("unicode_version"), "*")
+
+
 @query(_with_names(f"SELECT id, ({_LEVEL})::INT AS level, CASE WHEN kind IN (1, 2) THEN 2 ELSE 1 END::BIGINT AS findings FROM n WHERE kind BETWEEN 1 AND 5"))
 def sql_surface(spark, sf_dir):
     """The registered SQL functions and the table function, from SQL: names with findings."""
