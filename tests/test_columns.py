@@ -90,7 +90,7 @@ def test_lookalike_operators(spark, u, tmp_path):
     assert {r["name"] for r in lookalikes.free(new, index, "name", u).collect()} == {"other", None}
     c = lookalikes.collisions(old.select("name").unionByName(new), "name", u).collect()
     assert sorted((r["lookalike_key"], r["names"]) for r in c) == [("paypal", 2), ("rnodern", 2)]
-    rows = findings.findings(spark.createDataFrame([(1, "hеnrik"), (2, "fine"), (3, None)], "id int, name string"), "name", u).collect()
+    rows = findings.findings(spark.createDataFrame([(1, "bеndik"), (2, "fine"), (3, None)], "id int, name string"), "name", u).collect()
     assert [(r["id"], r["kind"], r["position"]) for r in rows] == [(1, "MixedScripts", 1)]
 
 
