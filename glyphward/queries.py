@@ -126,6 +126,18 @@ def skeleton_names_relational(spark, sf_dir):
     return codepoints.skeletons(names(spark, sf_dir).where("kind <> 5"), "id", "name", tables_of(spark)).select("id", F.col("text").alias("skeleton"))
 
 
+@query(_with_names(f"SELECT id, {_SKELETON} AS skeleton FROM n"))
+def skeleton_names_all(spark, sf_dir):
+    """Skeletons of the names of every kind, ligatures, too."""
+    return names(spark, sf_dir).select("id", unicode(spark).skeleton("name").alias("skeleton"))
+
+
+@query(_with_names(f"SELECT id, {_SKELETON} AS skeleton FROM n"))
+def skeleton_names_relational_all(spark, sf_dir):
+    """The same by code point rows and joins: an independent second way."""
+    return codepoints.skeletons(names(spark, sf_dir), "id", "name", tables_of(spark)).select("id", F.col("text").alias("skeleton"))
+
+
 @query(_with_names(f"SELECT id, {_SKELETON} AS lookalike_key FROM n"))
 def lookalike_keys(spark, sf_dir):
     return names(spark, sf_dir).select("id", unicode(spark).lookalike_key("name").alias("lookalike_key"))
@@ -245,6 +257,13 @@ def custom_profile_levels(spark, sf_dir):
     return names(spark, sf_dir).where("kind IN (3, 4)").select("id", unicode(spark).restriction_level("name", profile).alias("level"))
 
 
+@query(_with_names("SELECT id, CASE WHEN kind IN (0, 4) THEN 1 ELSE 6 END::INT AS level FROM n"))
+def custom_profile_levels_all(spark, sf_dir):
+    """Levels of the names of every kind under the same profile."""
+    profile = [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 0x23]
+    return names(spark, sf_dir).select("id", unicode(spark).restriction_level("name", profile).alias("level"))
+
+
 _MIXED = "WHEN 1 THEN ['MixedScripts@4+1', 'MixedScripts@6+1'] WHEN 2 THEN ['MixedScripts@18+1', 'MixedDigits@18+1'] WHEN 3 THEN ['Invisible@4+1'] WHEN 4 THEN ['NotAllowed@8+1'] WHEN 5 THEN ['CompatibilityForm@0+1']"
 
 
@@ -260,6 +279,12 @@ def finding_messages(spark, sf_dir):
     return findings.findings(names(spark, sf_dir).where("kind IN (3, 4, 5)").select("id", "name"), "name", unicode(spark), "Anything").select("id", "message")
 
 
+@query(_with_names(f"SELECT id, CASE kind WHEN 2 THEN '''{_ARABIC_ONE}'' (U+0661, Arabic) at position 18 is a digit 1 from a different number system than the ''0'' digits before it' WHEN 3 THEN 'An invisible character (U+200D, Inherited) at position 4' WHEN 4 THEN '''#'' (U+0023, Common) at position 8 is not allowed in a name' ELSE '''{_LIGATURE}'' (U+FB01, Latin) at position 0 is a compatibility form of ''fi''' END AS message FROM n WHERE kind NOT IN (0, 1, 6, 7)"))
+def finding_messages_all(spark, sf_dir):
+    """Messages about the names of every kind; under Anything, four kinds have none."""
+    return findings.findings(names(spark, sf_dir).select("id", "name"), "name", unicode(spark), "Anything").select("id", "message")
+
+
 @query(_with_names("SELECT id, kind = 0 AS ascii, kind IN (0, 6, 7) AS one_script, kind IN (0, 6, 7) AS relaxed, kind IN (0, 1, 6, 7) AS anything FROM n"))
 def acceptable_by_policy(spark, sf_dir):
     u = unicode(spark)
