@@ -5,13 +5,16 @@ characters before. N-grams live in sorted arrays of 64-bit hashes; interpolation
 context up, vectorised over many words. Words are scored alone, so a bounded memo serves the frequent ones. A
 document goes to the language with the lowest cross-entropy per character; its score is the softmax of the
 negated entropies at a temperature fitted on the training documents. Rejection: no letter, or an entropy
-above a bound calibrated on training documents that the models did not see.
+above the bound of its language and length. Bounds come from passages of such a length of training documents
+that the models did not see: the language's median entropy, and a multiple of a quantile of all languages'
+distances from their medians, which a few odd documents do not move.
 
 Training reads a bounded sample: SAMPLE labelled documents of each language, by hash of the id, whole texts.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -28,10 +31,16 @@ MAX_LANGUAGES = 200
 MEMO = 300_000
 HELD_OUT = 2
 UNKNOWN = "und"
-#: Bits a character above the highest entropy of held-back training documents at which a document is rejected.
-SLACK = 4.0
+#: Bounds hold for texts of so many characters or more, up to the next; shorter texts take the first.
+LENGTHS = (16, 64, 256, 1024)
+#: A bound is the language's median and MARGIN times this quantile of the distances from medians.
+QUANTILE, MARGIN = 0.98, 5.0
+#: Passages of each length from one held-back document, and passages that a language's own bound takes at least.
+PASSAGES, ENOUGH = 8, 20
 #: Code points that the flat distribution below the unigrams spreads over.
 FLAT = 1.0 / 65536
+#: Bits a character, at least, of a text whose words have unknown characters only (a word of one, and the space after it).
+UNKNOWN_BITS = -np.log2(FLAT) / 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, entropy double, rejected boolean"
 
@@ -111,9 +120,25 @@ def _joined(keys: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], defaul
     return values
 
 
+def passages(text: str, length: int) -> list[str]:
+    """Up to PASSAGES runs of whole words, spread over the text, each the shortest of `length` characters or more."""
+    words = text.split()
+    ends = np.cumsum([len(w) + 1 for w in words])
+    if not words or ends[-1] < length:
+        return []
+    last = int(np.searchsorted(np.concatenate(([0], ends[:-1])), ends[-1] - length, "right")) - 1
+    out = []
+    for a in sorted({int(x) for x in np.linspace(0, last, PASSAGES)}):
+        before = ends[a] - len(words[a]) - 1
+        out.append(" ".join(words[a : int(np.searchsorted(ends, before + length)) + 1]))
+    return out
+
+
 class Model:
-    def __init__(self, names: list[str], languages: list[Language], temperature: float = 8.0, bound: float = float("inf")):
-        self.names, self.languages, self.temperature, self.bound = names, languages, temperature, bound
+    def __init__(self, names: list[str], languages: list[Language], temperature: float = 8.0, bounds: np.ndarray | None = None):
+        self.names, self.languages, self.temperature = names, languages, temperature
+        #: Bits a character above which a text is rejected, by language and length; without calibration, UNKNOWN_BITS.
+        self.bounds = np.full((len(names), len(LENGTHS)), UNKNOWN_BITS) if bounds is None else bounds
         self._orders = None
 
     def word_bits(self, words: list[str]) -> np.ndarray:
@@ -145,12 +170,12 @@ class Model:
         return keys, _joined(keys, grams, 0.0), _joined(keys, contexts, 1.0) if contexts else None
 
     def scorer(self):
-        """texts -> (entropies by language, has a letter) for each; keeps a bounded memo of words seen twice."""
+        """texts -> (entropies by language, has a letter, characters) for each; keeps a bounded memo of words seen twice."""
         row: dict[str, int] = {}
         seen = SeenTwice()
         bits = np.empty((MEMO, len(self.languages)), np.float32)
 
-        def entropies(texts: list[str]) -> list[tuple[np.ndarray | None, bool]]:
+        def entropies(texts: list[str]) -> list[tuple[np.ndarray | None, bool, int]]:
             parts = [t.lower().split() for t in texts]
             new = list({w for p in parts for w in p if w not in row})
             extra = [self.word_bits(new[i : i + 10_000]).astype(np.float32) for i in range(0, len(new), 10_000)]
@@ -161,10 +186,10 @@ class Model:
             for t, words in zip(texts, parts, strict=True):
                 chars = len(words) + sum(map(len, words))
                 if not chars:
-                    out.append((None, False))
+                    out.append((None, False, 0))
                     continue
                 ids = np.fromiter(map(row.__getitem__, words), np.int64, len(words))
-                out.append((table[ids].sum(axis=0, dtype=np.float64) / chars, any(map(str.isalpha, t))))
+                out.append((table[ids].sum(axis=0, dtype=np.float64) / chars, any(map(str.isalpha, t)), chars))
             stay = [w for w in new if seen(w)]
             kept = table[[row[w] for w in stay]] if stay else table[:0]
             for w in new:
@@ -179,17 +204,41 @@ class Model:
 
         return entropies
 
-    def judge(self, entropy: np.ndarray | None, letter: bool) -> tuple[str, float, float | None, bool]:
+    def judge(self, entropy: np.ndarray | None, letter: bool, chars: int) -> tuple[str, float, float | None, bool]:
         """Language (the first by name among equals), score, entropy, whether it is rejected."""
         if entropy is None or not letter:
             return UNKNOWN, 0.0, None, True
         best = int(entropy.argmin())
         share = 1.0 / float(np.exp2(-self.temperature * (entropy - entropy[best])).sum())
-        return self.names[best], share, float(entropy[best]), bool(entropy[best] > self.bound)
+        return self.names[best], share, float(entropy[best]), bool(entropy[best] > self.bounds[best, max(0, bisect_right(LENGTHS, chars) - 1)])
+
+    def calibrate(self, texts: list[str], langs: list[str]) -> None:
+        """Bounds from texts that the models did not see.
+
+        A language with fewer than ENOUGH passages of a length takes its bound for the next shorter one, or else the
+        highest of the other languages. No bound is above UNKNOWN_BITS.
+        """
+        score = self.scorer()
+        bounds = np.full((len(self.names), len(LENGTHS)), np.nan)
+        for column, length in enumerate(LENGTHS):
+            middle, distances = np.full(len(self.names), np.nan), []
+            for k, name in enumerate(self.names):
+                found = score([x for t, n in zip(texts, langs, strict=True) if n == name for x in passages(t, length)])
+                bits = np.array([e.min() for e, letter, _ in found if letter])
+                if len(bits) >= ENOUGH:
+                    middle[k] = np.median(bits)
+                    distances.append(bits - middle[k])
+            if distances:
+                bounds[:, column] = middle + MARGIN * np.quantile(np.concatenate(distances), QUANTILE)
+            if column:
+                bounds[:, column] = np.where(np.isnan(middle), bounds[:, column - 1], bounds[:, column])
+            known = bounds[:, column][~np.isnan(bounds[:, column])]
+            bounds[:, column] = np.where(np.isnan(bounds[:, column]), known.max() if len(known) else UNKNOWN_BITS, bounds[:, column])
+        self.bounds = np.minimum(bounds, UNKNOWN_BITS)
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
-    """Models from all rows but every fifth, temperature and bound from these."""
+    """Models from all rows but every fifth, temperature and bounds from these."""
     if not texts:
         raise ValueError("no labelled document to learn from")
     names = sorted(set(langs))
@@ -198,18 +247,19 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     for i, (t, n) in enumerate(zip(texts, langs, strict=True)):
         if i % 5 != 4 or len(texts) < 5:
             counts[n].update(t.lower().split())
+    unseen = [i for i in held if len(texts) >= 5 and counts[langs[i]]]
     for i in held:  # a language seen in held-back rows only still gets a model
         if not counts[langs[i]]:
             counts[langs[i]].update(texts[i].lower().split())
     names = [n for n in names if counts[n]] or names[:1]
     model = Model(names, [Language.fit(counts[n] or Counter(" ")) for n in names])
-    rows = [(e, langs[i]) for i, (e, letter) in zip(held, model.scorer()([texts[i] for i in held]), strict=True) if e is not None and letter and langs[i] in names]
+    rows = [(e, langs[i]) for i, (e, letter, _) in zip(held, model.scorer()([texts[i] for i in held]), strict=True) if e is not None and letter and langs[i] in names]
     if rows:
         def loss(t: float) -> float:
             return sum(float(np.logaddexp2.reduce(-t * e) + t * e[names.index(n)]) for e, n in rows)
 
         model.temperature = min((1.0, 2.0, 4.0, 8.0, 16.0, 32.0), key=loss)
-        model.bound = max(float(e.min()) for e, _ in rows) + SLACK
+    model.calibrate([texts[i] for i in unseen], [langs[i] for i in unseen])
     return model
 
 
