@@ -3,7 +3,8 @@
 Centroids are fitted on a bounded sample by k-means with a penalty for full lists. They are few and kept in
 memory, with a graph of neighbours that a beam search walks. Every vector goes to the list of its nearest
 centroid, and a boundary vector also to those almost as near. A query walks the same graph and probes the
-lists whose centroids lie within a ratio of the nearest one's distance. Long lists are cut into chunks.
+lists whose centroids lie within a ratio of the nearest one's distance, and further ones until these hold enough
+vectors; where the beam ends before, all centroids are compared. Long lists are cut into chunks.
 
 Equal vectors are kept once, with the smallest ids that any answer can hold (there are as many as an answer
 is long, and one for the query itself); equal queries are searched once. So neither a vector that very many
@@ -72,14 +73,32 @@ class Index:
         order = far.argsort(axis=1, kind="stable")
         return ids[rows, order], np.sqrt(np.maximum(far[rows, order], 0))
 
-    def lists(self, unit: np.ndarray, ratio: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs: lists within ratio of the nearest one's distance."""
+    def lists(self, unit: np.ndarray, ratio: float, most: int | None = None, sizes: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, whether it is the nearest): lists within ratio of the nearest one's distance, and on until `sizes` add up to `least`."""
+
+        def within(ids: np.ndarray, far: np.ndarray) -> np.ndarray:
+            take = far <= ratio * far[:, :1] + 1e-12
+            if sizes is not None:
+                take |= sizes[ids].cumsum(axis=1) - sizes[ids] < least
+            return take & np.isfinite(far)
+
         ids, far = self.search(unit)
-        take = np.isfinite(far) & (far <= ratio * far[:, :1] + 1e-12)
+        take = within(ids, far)
         if most is not None:
             take[:, most:] = False
         row, column = np.nonzero(take)
-        return row, ids[row, column]
+        to = ids[row, column]
+        if most is None and ids.shape[1] < len(self.centroids):
+            beyond = take.sum(axis=1) == np.isfinite(far).sum(axis=1)  # the beam ends within the ratio
+            stay = ~beyond[row]
+            parts = [(row[stay], column[stay], to[stay])]
+            for some in np.array_split(np.flatnonzero(beyond), -(-beyond.sum() // 512) or 1):
+                every = np.sqrt(np.maximum(2 - 2 * unit[some] @ self.centroids.T, 0))
+                ids = every.argsort(axis=1, kind="stable")
+                at, column = np.nonzero(within(ids, np.take_along_axis(every, ids, axis=1)))
+                parts.append((some[at], column, ids[at, column]))
+            row, column, to = map(np.concatenate, zip(*parts, strict=True))
+        return row, to, column == 0
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -146,22 +165,26 @@ def nearest(rows: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_
     index = fit(_matrix(sample.column("v")), count)
     shipped = rows.sparkSession.sparkContext.broadcast(index)  # at most MAX_LISTS centroids and their graph
 
-    def deal(ratio: float, most: int | None):
+    def deal(ratio: float, most: int | None, sizes: np.ndarray | None = None):
         def run(batches):
             for batch in batches:
                 if batch.num_rows:
                     m = _matrix(batch.column(1))
-                    row, to = shipped.value.lists(unit_rows(m), ratio, most)
-                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), *batch.take(pa.array(row)).columns], names=["list", "vid", "v"])
+                    row, to, first = shipped.value.lists(unit_rows(m), ratio, most, sizes, k + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), *batch.take(pa.array(row)).columns, pa.array(first)], names=["list", "vid", "v", "first"])
 
         return run
 
-    dealt = "list long, vid long, v array<double>"
+    dealt = "list long, vid long, v array<double>, first boolean"
     lists = distinct.mapInArrow(deal(REPLICA_RATIO, REPLICAS), dealt)
     asked = usable.where(F.col("vec_id") % every == 0).select("vec_id", "v")
     queries = asked.groupBy("v").agg(F.min("vec_id").alias("vid")).select("vid", "v")
-    probes = queries.mapInArrow(deal(probe_ratio, None), dealt)
     lists = durable(lists)
+    sizes = np.zeros(len(index.centroids), np.int64)  # vectors by their nearest list, so that replicas count once
+    for held in lists.where("first").groupBy("list").count().collect():  # at most MAX_LISTS rows
+        sizes[held["list"]] = held["count"]
+    lists = lists.drop("first")
+    probes = queries.mapInArrow(deal(probe_ratio, None, sizes), dealt).drop("first")
     cut = F.broadcast(lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))  # at most MAX_LISTS rows
     lists = lists.join(cut, "list").withColumn("chunk", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int")).drop("chunks")
     probes = probes.join(cut, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
