@@ -340,3 +340,33 @@ def sql_surface(spark, sf_dir):
     register(spark, unicode(spark))
     names(spark, sf_dir).createOrReplaceTempView("glyphward_names")
     return spark.sql("SELECT n.id, max(restriction_level(n.name)) AS level, count(f.kind) AS findings FROM glyphward_names n, LATERAL name_findings(n.name, 'OneScript') f GROUP BY n.id")
+
+
+def _every_code_point(spark):
+    return spark.range(0x110000).select(F.col("id").cast("int").alias("cp"))
+
+
+@query(None)
+def prototype_lookup_all(spark, sf_dir):
+    """prototype_lookup over the whole code space."""
+    return _every_code_point(spark).select("cp", unicode(spark).prototype("cp").alias("prototype"))
+
+
+@query(None)
+def default_ignorables_all(spark, sf_dir):
+    """default_ignorables over the whole code space."""
+    return _every_code_point(spark).select("cp", unicode(spark).default_ignorable("cp").alias("ignorable"))
+
+
+@query(None)
+def identifier_types_all(spark, sf_dir):
+    """identifier_types over the whole code space."""
+    u = unicode(spark)
+    cps = _every_code_point(spark).withColumn("id_type", u.identifier_type("cp"))
+    return cps.select("cp", "id_type", u.allowed("cp").alias("allowed"), F.array_join(u.type_names(F.col("id_type")), " ").alias("types"))
+
+
+@query(None)
+def digit_values_all(spark, sf_dir):
+    """digit_values over the whole code space."""
+    return _every_code_point(spark).select("cp", unicode(spark).digit_value("cp").alias("value")).where("value IS NOT NULL")
