@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import glob
-import os
 import struct
-import zipfile
 
-import pyspark
 from pyspark.sql import SparkSession
 
 from ..unicode_tables import IDENTIFIER_TYPES, TYPE_BIT, Runs, UnicodeTables
@@ -27,11 +23,21 @@ def _points(ranges):
     return (cp for a, b in ranges for cp in range(a, b + 1))
 
 
-def _confusables() -> dict[int, str]:
+def _resource(jvm, name: str) -> bytes:
+    """A data file of the ICU library, by the class loader that loads the library: wherever its jar lies."""
+    path = f"{jvm.com.ibm.icu.impl.ICUData.ICU_BASE_NAME}/{name}"
+    loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    stream = loader.getResourceAsStream(path)
+    if stream is None:
+        raise FileNotFoundError(f"Spark's ICU library has no {path}")
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def _confusables(data: bytes) -> dict[int, str]:
     """ICU's confusables: a header, then keys of 24 bits with a length, offsets or single units, and a pool of UTF-16 units."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "icu4j-*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        data = z.read(next(n for n in z.namelist() if n.endswith("/confusables.cfu")))
     at = struct.unpack_from(">H", data)[0]  # the size of ICU's own header, in the order of bytes it names
     order = ">" if data[8] else "<"
     if order == "<":
@@ -93,7 +99,7 @@ def load(spark: SparkSession) -> UnicodeTables:
     digits = {cp: cp - jvm.com.ibm.icu.lang.UCharacter.digit(cp, 10) for cp in _points(ranges("[:Nd:]"))}
     version = ".".join(names.getUnicodeVersion().toString().split(".")[:3])
     ignorable = frozenset(_points(ranges("[:Default_Ignorable_Code_Point:]")))
-    return UnicodeTables(version, scripts, script, {cp: frozenset(x) for cp, x in extensions.items()}, types, ignorable, nfd, nfkd, pairs, ccc, digits, _confusables())
+    return UnicodeTables(version, scripts, script, {cp: frozenset(x) for cp, x in extensions.items()}, types, ignorable, nfd, nfkd, pairs, ccc, digits, _confusables(_resource(jvm, "confusables.cfu")))
 
 
 def _runs_of(values: dict[int, int]):
