@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 #: A word: what stands between space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch; texts may be long, so batches stay far below Spark's 10,000.
+#: Rows that a kernel takes from an Arrow batch at a time; texts may be long. Spark bounds the batch itself in rows and bytes.
 BATCH_ROWS = 128
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches hold few rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df
+def few_rows(batches, rows: int = BATCH_ROWS):
+    """The batches, cut into pieces of few rows; no setting of the caller's session is touched."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,11 @@ def durable(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="glyphward-"))
+        if shared is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="glyphward-")  # one machine: its folder is shared
+        sc.setCheckpointDir(shared)
     return df.hint("rebalance").checkpoint(eager=True)
 
 

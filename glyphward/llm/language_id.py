@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SeenTwice, crc_fold, give_back, small_batches
+from .common import SeenTwice, crc_fold, few_rows, give_back
 
 ORDER = 5
 #: Labelled documents of each language that training may read, and languages.
@@ -301,14 +301,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches):
         m = shipped.value
         entropies = m.scorer()
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = [m.judge(*e) for e in entropies([t or "" for t in batch.column(2).to_pylist()])]
             types = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=["doc_id", "held_out", "lang_pred", "score", "entropy", "rejected"])
         del entropies
         give_back()
 
-    base = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), (crc_fold(docs[id_col].cast("long")) == HELD_OUT).alias("held_out"), docs[text_col].cast("string").alias("text"))
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), (crc_fold(docs[id_col].cast("long")) == HELD_OUT).alias("held_out"), docs[text_col].cast("string").alias("text"))
     return base.mapInArrow(run, SCHEMA)
 
 
@@ -323,7 +323,7 @@ def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text", lang_co
     def run(batches):
         m = shipped.value
         entropies = m.scorer()
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = [m.judge(*e) for e in entropies([t or "" for t in batch.column(text_at).to_pylist()])]
             langs = [known if known is not None else r[0] for known, r in zip(batch.column(lang_at).to_pylist(), rows, strict=True)]
             columns = [pa.array(langs, pa.string()) if k == lang_at else c for k, c in enumerate(batch.columns)]
@@ -331,4 +331,4 @@ def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text", lang_co
         del entropies
         give_back()
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

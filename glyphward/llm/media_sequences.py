@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import few_rows
 
 WIDTH = 192
 TAIL = 16
@@ -143,7 +143,7 @@ def media_store(payloads: DataFrame, payload_col: str = "payload", keep_bytes: b
     out = pa.schema([*_MEDIA, *([("stored", pa.binary())] if keep_bytes else [])])
 
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             seen: dict[str, tuple] = {}
             for p in batch.column(0).to_pylist():
                 if p is not None:
@@ -160,7 +160,7 @@ def sequences(pages: DataFrame, id_col: str, page_col: str) -> DataFrame:
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse(p) for p in batch.column(1).to_pylist()], _SEGMENT)], names=["id", "segments"])
 
     return pages.select(pages[id_col].alias("id"), pages[page_col].cast("string").alias("page")).mapInArrow(run, f"id {kind}, segments {SEGMENTS}")
@@ -196,14 +196,14 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     store of all payloads. Copies share one stored payload; repeated rows and null ids stay; an empty table
     gives an empty result; other columns are not read.
     """
-    base = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
     def pages(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([page_of(t)[0] for t in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "page"])
 
     def payloads(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array([padded(t.encode()) for t in batch.column(0).to_pylist()], pa.binary())], names=["payload"])
 
     refs = references(sequences(base.mapInArrow(pages, "doc_id long, page string"), "doc_id", "page"))

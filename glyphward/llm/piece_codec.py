@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import few_rows
 
 MARK = "▁"
 MEMO = 500_000
@@ -210,12 +210,12 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def run(batches):
         c = codec(model_path)
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = [c.quick(t or "") for t in batch.column(1).to_pylist()]
             ids = [np.array(i.split(","), np.int32) if i else np.zeros(0, np.int32) for i, _ in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([d for _, d in rows], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def digest_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,8 +223,8 @@ def digest_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def run(batches):
         c = codec(model_path)
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = [c.digest(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], _OUT[k + 1].type) for k in range(3))], schema=_OUT)
 
-    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)

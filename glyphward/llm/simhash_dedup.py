@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches
+from .common import durable, few_rows
 from .components import connected_components
 from .golay import nearby
 
@@ -84,18 +84,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, fp (the fingerprint's 64 bits as a signed long) for each row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
-    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """u, v: links of distinct fingerprints (column fp) within two bits, enough to connect all that are linked."""
 
     def spread(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             keys, owner = keys_of(fps.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[owner])], names=["key", "fp"])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, give_back, shuffles, small_batches
+from .common import WORD, few_rows, give_back, shuffles
 from .recompression import anchors, mix, window_hashes, words_of
 
 WINDOW = 20
@@ -219,7 +219,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([int(label[r]) for r, _ in sent], pa.int64()), pa.array([b for _, b in sent], pa.binary())], names=["receiver", "block"])
 
         held, size = [], 0
-        for batch in batches:
+        for batch in few_rows(batches):
             for i, c, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 held.append((i, c, t.encode()))
                 size += len(held[-1][2])
@@ -258,7 +258,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     null text has no words and stays null. A text of fewer words than a window stays whole. An empty table
     gives an empty result. Columns of docs named n_words or n_removed are replaced.
     """
-    text = small_batches(docs)[text_col].cast("string")
+    text = docs[text_col].cast("string")
     keyed = docs.select("*", F.coalesce(docs[id_col].cast("long"), F.lit(_LAST_ID)).alias("__id"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("__crc"))
     spans = duplicate_spans(keyed.select(F.col("__id").alias("id"), F.col("__crc").alias("crc"), F.col(text_col).cast("string").alias("text")), window)
     spans = spans.withColumnsRenamed({"id": "__id", "crc": "__crc", "spans": "__spans"})
@@ -269,7 +269,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in few_rows(batches):
             z = [None if t is None else squeeze(t.encode()) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(z, pa.binary())], names=[*batch.schema.names[:-1], "__z"])
 
@@ -277,7 +277,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
         import zstandard
 
         open_ = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in few_rows(batches):
             kept, total, gone = [], [], []
             for z, s in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 t = None if z is None else open_(z).decode()

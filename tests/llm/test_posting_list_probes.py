@@ -9,14 +9,14 @@ def test_the_ratio_alone_decides():
     unit = posting_lists.unit_rows(rng.normal(size=(2000, 16)))
     index = posting_lists.fit(unit, len(unit), 10)
     k = len(index.centroids)
-    assert k > 2 * posting_lists.BEAM
+    assert k > 2 * posting_lists.QUERY_BEAM
     row, to, first = index.lists(unit[:50], 1e9)
     assert sorted(zip(row.tolist(), to.tolist(), strict=True)) == [(i, j) for i in range(50) for j in range(k)]
-    far = np.sqrt(2 - 2 * unit[:50] @ index.centroids.T)
+    far = index.distances(unit[:50])
     assert sorted(zip(row[first].tolist(), to[first].tolist(), strict=True)) == list(enumerate(far.argmin(axis=1).tolist()))
     row, to, _ = index.lists(unit[:50], 1.6)
     expected = far <= 1.6 * far.min(axis=1, keepdims=True)
-    assert expected.sum(axis=1).max() > posting_lists.BEAM
+    assert expected.sum(axis=1).max() > posting_lists.QUERY_BEAM
     missing = set(zip(*map(list, np.nonzero(expected)), strict=True)) - set(zip(row.tolist(), to.tolist(), strict=True))
     assert len(missing) < 0.01 * expected.sum()
 
