@@ -9,7 +9,9 @@ above the bound of its language and length. Bounds come from passages of such a
 that the models did not see: the language's median entropy, and a multiple of a quantile of all languages'
 distances from their medians, which a few odd documents do not move.
 
-Training reads a bounded sample: SAMPLE labelled documents of each language, by hash of the id, whole texts.
+Training reads a bounded sample: SAMPLE labelled documents of each language, by hash of the id, whole texts of
+TRAIN_CHARS characters in all at most. Languages are held in groups, so tables grow with their number, not its square.
+A word of any length is scored piece by piece, each behind the characters before it.
 """
 
 from __future__ import annotations
@@ -22,13 +24,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SeenTwice, crc_fold, few_rows, give_back
+from .common import SeenTwice, crc_fold, few_rows, give_back, training_texts
 
 ORDER = 5
-#: Labelled documents of each language that training may read, and languages.
+#: Labelled documents of each language that training may read, and characters of all their texts.
 SAMPLE = 400
-MAX_LANGUAGES = 200
-MEMO = 300_000
+TRAIN_CHARS = 64_000_000
+#: More labels than there are languages: such a column holds something else.
+MAX_LANGUAGES = 10_000
+#: Languages whose tables are searched together.
+GROUP = 8
+#: Words that a memo holds, and numbers that it holds at most.
+MEMO, MEMO_CELLS = 300_000, 4_000_000
+#: Characters that are scored at a time.
+PIECE = 1 << 18
+#: Longer words are not remembered.
+LONGEST_MEMO = 64
 HELD_OUT = 2
 UNKNOWN = "und"
 #: Bounds hold for texts of so many characters or more, up to the next; shorter texts take the first.
@@ -48,10 +59,13 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, entropy
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the words, each behind ORDER - 1 spaces and before one; word number and a mask of scored places."""
     pad = " " * (ORDER - 1)
-    text = "".join(pad + w + " " for w in words)
+    return _code_points("".join(pad + w + " " for w in words), np.fromiter((len(w) + ORDER for w in words), np.int64, len(words)))
+
+
+def _code_points(text: str, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of stretches of these sizes, the stretch of each, and a mask of all but the ORDER - 1 first ones of each."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = np.fromiter((len(w) + ORDER for w in words), np.int64, len(words))
-    word = np.repeat(np.arange(len(words)), size)
+    word = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
     return codes, word, place >= ORDER - 1
 
@@ -139,41 +153,69 @@ class Model:
         self.names, self.languages, self.temperature = names, languages, temperature
         #: Bits a character above which a text is rejected, by language and length; without calibration, UNKNOWN_BITS.
         self.bounds = np.full((len(names), len(LENGTHS)), UNKNOWN_BITS) if bounds is None else bounds
-        self._orders = None
+        self._groups = None
 
     def word_bits(self, words: list[str]) -> np.ndarray:
         """Bits of each word in each language."""
-        if self._orders is None:
-            self._orders = [self._order(k) for k in range(1, ORDER + 1)]
-            self._none = np.array([m.contexts[0][1][0] for m in self.languages])  # the share left by unigrams
-        codes, word, scored = _codes(words)
+        out = np.zeros((len(words), len(self.languages)))
+        some: list[int] = []
+        held = 0
+        for i, w in enumerate(words):
+            if len(w) > PIECE:
+                out[i] = self._long_word_bits(w)
+                continue
+            some.append(i)
+            held += len(w) + ORDER
+            if held > PIECE:
+                out[some] = self._bits(*_codes([words[j] for j in some]))
+                some, held = [], 0
+        if some:
+            out[some] = self._bits(*_codes([words[j] for j in some]))
+        return out
+
+    def _long_word_bits(self, word: str) -> np.ndarray:
+        padded = " " * (ORDER - 1) + word + " "
+        pieces = (padded[at : at + ORDER - 1 + PIECE] for at in range(0, len(word) + 1, PIECE))
+        return sum(self._bits(*_code_points(p, np.array([len(p)])))[0] for p in pieces)
+
+    def _bits(self, codes: np.ndarray, word: np.ndarray, scored: np.ndarray) -> np.ndarray:
+        if self._groups is None:
+            parts = [self.languages[i : i + GROUP] for i in range(0, len(self.languages), GROUP)]
+            self._groups = [([self._order(part, k) for k in range(1, ORDER + 1)], np.array([m.contexts[0][1][0] for m in part])) for part in parts]  # and the share left by unigrams
+        scored = scored.copy()
         scored[:-1] |= scored[1:]  # and the place before each word, as a context
         at = np.flatnonzero(scored)
         first = np.ones(len(at), bool)
         first[1:] = np.diff(word[at]) != 0
-        p = np.full((len(at), len(self.languages)), FLAT)
-        share = self._none[None, :]
-        for (keys, grams, contexts), h in zip(self._orders, _hashes(codes, scored)[1:], strict=True):
-            i = np.searchsorted(keys, h)
-            i = np.where(keys[np.minimum(i, len(keys) - 1)] == h, i, len(keys))
-            p = grams[i] + share * p
-            if contexts is not None:
-                share = np.roll(contexts[i], 1, axis=0)  # what the characters up to the one before leave
-        bits = -np.log2(np.where(first[:, None], 1.0, p))
-        return np.add.reduceat(bits, np.flatnonzero(first), axis=0)
-
-    def _order(self, k: int):
+        hashes, starts, out = _hashes(codes, scored)[1:], np.flatnonzero(first), []
+        for orders, none in self._groups:
+            p = np.full((len(at), len(none)), FLAT)
+            share = none[None, :]
+            for (keys, grams, contexts), h in zip(orders, hashes, strict=True):
+                i = np.searchsorted(keys, h)
+                i = np.where(keys[np.minimum(i, len(keys) - 1)] == h, i, len(keys))
+                p = grams[i] + share * p
+                if contexts is not None:
+                    share = np.roll(contexts[i], 1, axis=0)  # what the characters up to the one before leave
+            out.append(np.add.reduceat(-np.log2(np.where(first[:, None], 1.0, p)), starts, axis=0))
+        return np.concatenate(out, axis=1)
+
+    @staticmethod
+    def _order(languages: list[Language], k: int):
         """Sorted hashes of k characters, with their values as n-grams and as contexts of the next order."""
-        grams = [m.grams[k - 1] for m in self.languages]
-        contexts = [m.contexts[k] for m in self.languages] if k < ORDER else []
+        grams = [m.grams[k - 1] for m in languages]
+        contexts = [m.contexts[k] for m in languages] if k < ORDER else []
         keys = np.unique(np.concatenate([x for x, _ in grams + contexts]))
         return keys, _joined(keys, grams, 0.0), _joined(keys, contexts, 1.0) if contexts else None
 
     def scorer(self):
         """texts -> (entropies by language, has a letter, characters) for each; keeps a bounded memo of words seen twice."""
+        if not self.languages:
+            return lambda texts: [(None, any(map(str.isalpha, t)), 0) for t in texts]
         row: dict[str, int] = {}
         seen = SeenTwice()
-        bits = np.empty((MEMO, len(self.languages)), np.float32)
+        memo = min(MEMO, MEMO_CELLS // len(self.languages))
+        bits = np.empty((memo, len(self.languages)), np.float32)
 
         def entropies(texts: list[str]) -> list[tuple[np.ndarray | None, bool, int]]:
             parts = [t.lower().split() for t in texts]
@@ -190,14 +232,14 @@ class Model:
                     continue
                 ids = np.fromiter(map(row.__getitem__, words), np.int64, len(words))
                 out.append((table[ids].sum(axis=0, dtype=np.float64) / chars, any(map(str.isalpha, t)), chars))
-            stay = [w for w in new if seen(w)]
+            stay = [w for w in new if len(w) <= LONGEST_MEMO and seen(w)]
             kept = table[[row[w] for w in stay]] if stay else table[:0]
             for w in new:
                 del row[w]
-            if base + len(stay) > MEMO:
+            if base + len(stay) > memo:
                 row.clear()
                 base = 0
-            stay = stay[:MEMO]
+            stay = stay[:memo]
             bits[base : base + len(stay)] = kept[: len(stay)]
             row.update(zip(stay, range(base, base + len(stay)), strict=True))
             return out
@@ -205,9 +247,12 @@ class Model:
         return entropies
 
     def judge(self, entropy: np.ndarray | None, letter: bool, chars: int) -> tuple[str, float, float | None, bool]:
-        """Language (the first by name among equals), score, entropy, whether it is rejected."""
+        """Language (the first by name among equals), score, entropy, whether it is rejected.
+
+        Where no language was learned nothing tells a text with letters apart, so it isn't rejected.
+        """
         if entropy is None or not letter:
-            return UNKNOWN, 0.0, None, True
+            return UNKNOWN, 0.0, None, bool(self.names) or not letter
         best = int(entropy.argmin())
         share = 1.0 / float(np.exp2(-self.temperature * (entropy - entropy[best])).sum())
         return self.names[best], share, float(entropy[best]), bool(entropy[best] > self.bounds[best, max(0, bisect_right(LENGTHS, chars) - 1)])
@@ -240,7 +285,7 @@ class Model:
 def fit(texts: list[str], langs: list[str]) -> Model:
     """Models from all rows but every fifth, temperature and bounds from these."""
     if not texts:
-        raise ValueError("no labelled document to learn from")
+        return Model([], [])
     names = sorted(set(langs))
     held = [i for i in range(len(texts)) if i % 5 == 4] or list(range(len(texts)))
     counts = {n: Counter() for n in names}
@@ -264,35 +309,31 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from about `sample` labelled documents of each language outside the held-out fold, never more.
+    """A model from at most `sample` labelled documents of each language outside the held-out fold.
 
-    One pass counts the labels, one picks ids whose hash falls below each language's share.
+    One pass counts the labels, one picks ids whose hash falls below each language's share, one reads their texts.
+    Rows without id or text teach nothing; of no labelled row at all comes a model without languages.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
-    rows = rows.where("lang IS NOT NULL").where(crc_fold(F.col("doc_id")) != HELD_OUT)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("label"))
+    rows = rows.where("label IS NOT NULL AND doc_id IS NOT NULL").where(crc_fold(F.col("doc_id")) != HELD_OUT)
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy("label").limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = F.when(F.col("lang") == lang, place < int((1 << 40) * min(1.0, 1.2 * sample / n))).otherwise(chosen)
-    got = rows.where(chosen & F.col("text").isNotNull()).dropDuplicates(["doc_id"]).select("*", place.alias("place")).collect()  # about 1.2 * sample ids of each language
-    got.sort(key=lambda r: (r["lang"], r["place"], r["doc_id"] or 0))
-    texts, langs, taken = [], [], Counter()
-    for r in got:
-        if taken[r["lang"]] < sample:
-            taken[r["lang"]] += 1
-            texts.append(r["text"])
-            langs.append(r["lang"])
-    return fit(texts, langs)
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values")
+    if not counts:
+        return Model([], [])
+    place, spark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), docs.sparkSession
+    below = spark.createDataFrame([(lang, int((1 << 40) * min(1.0, 1.2 * sample / n))) for lang, n in counts.items()], "label string, below long")
+    picked = rows.join(F.broadcast(below), "label").withColumn("place", place).where("place < below").drop("below")  # about 1.2 * sample ids of each language
+    got = training_texts(picked, sample, TRAIN_CHARS // len(counts))
+    got.sort(key=lambda r: r["label"])
+    return fit([r["text"] for r in got], [r["label"] for r in got])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy, rejected for each row.
 
     A null text, or one without a letter, is `und` with score 0 and rejected. Texts with letters always name a
-    learned language; rejected tells whether their entropy is above the calibrated bound. held_out tells
+    learned language (without any learned they are `und`, too, with score 0, and not rejected); rejected tells whether their entropy is above the calibrated bound. held_out tells
     whether crc32 of the id as text is 2 modulo 4 (a null id: false). Ties go to the first language by name.
     Repeated rows and null ids stay; an empty table gives an empty result; other columns are not read.
     """
