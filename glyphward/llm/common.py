@@ -25,22 +25,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's shared checkpoint folder, so that a lost executor costs nothing.
+def column(df: DataFrame, name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return df["`" + name.replace("`", "``") + "`"]
 
-    Rows are dealt out to files of the advisory size first: few rows make few files, whatever made them.
-    """
-    sc = df.sparkSession.sparkContext
+
+def _shared_folder(spark: SparkSession) -> None:
+    """Sees to a checkpoint folder that all executors share."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
             if not sc.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="glyphward-")  # one machine: its folder is shared
         sc.setCheckpointDir(shared)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the cluster's shared checkpoint folder, so that a lost executor costs nothing.
+
+    Rows are dealt out to files of the advisory size first: few rows make few files, whatever made them.
+    """
+    _shared_folder(df.sparkSession)
     return df.hint("rebalance").checkpoint(eager=True)
 
 
+def durable_by(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """df, kept in the checkpoint folder as durable() does, dealt by key and sorted by key and order.
+
+    Plans that group it by key, alone or with other rows, then neither deal nor sort it anew. Spark only remembers
+    that of plans that aren't adaptive, so this one isn't; the caller's setting is put back.
+    """
+    spark, name = df.sparkSession, "spark.sql.adaptive.enabled"
+    _shared_folder(spark)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.repartition(shuffles(spark), key).sortWithinPartitions(key, *order).checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
+
+
 def shuffles(spark: SparkSession) -> int:
     """The number of shuffle partitions, which the cluster sets in proportion to its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -9,6 +9,7 @@ symbol crosses from one into the next.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,8 @@ _BYTE = (np.arange(1, 257, dtype=np.uint64) * _A) ^ (np.arange(1, 257, dtype=np.
 _WORD_BASE = 0x5851F42D4C957F2D
 #: Bytes whose words are hashed together.
 BLOCK = 1 << 17
+#: Sums over powers of a base modulo 2^64 can be made to collide by words of a thousand bytes; longer ones than this are digested.
+LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,8 +47,9 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words in data (bytes), and the document of each; document i is data[offsets[i]:offsets[i + 1]]."""
+    base = _WORD_BASE + 2 * seed
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     inside = ~_SPACE[data]
@@ -56,16 +60,18 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     last[:-1] &= ~inside[1:] | border[1:-1]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
     h, i = np.empty(len(a), np.uint64), 0
-    up, down = _powers(_WORD_BASE, min(len(data), 2 * BLOCK))
+    up, down = _powers(base, min(len(data), 2 * BLOCK))
     while i < len(a):  # some words at a time, so that arrays over bytes stay small
         j = max(i + 1, int(np.searchsorted(b, a[i] + BLOCK, side="right")))
         low, size = a[i], int(b[j - 1] - a[i])
         if size > len(up):
-            up, down = _powers(_WORD_BASE, size)
+            up, down = _powers(base, size)
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(_BYTE[data[low : low + size]] * up[:size], out=sums[1:])
         h[i:j] = (sums[b[i:j] - low] - sums[a[i:j] - low]) * down[a[i:j] - low]
         i = j
+    for k in np.flatnonzero(b - a > LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[a[k] : b[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
     return mix(h + (b - a).astype(np.uint64) * _B), np.searchsorted(offsets, a, side="right") - 1
 
 

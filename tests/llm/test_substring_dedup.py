@@ -40,20 +40,59 @@ def corpus(seed=1, n=120):
     return [*enumerate(texts)]
 
 
+def digests(df, *args, **options):
+    got = substring_dedup.deduplicate(df, *args, digest=True, **options)
+    assert got.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    return sorted((tuple(r) for r in got.collect()), key=repr)
+
+
 def test_against_brute_force(spark, docs):
     rows = corpus()
-    rows += [(None, rows[7][1]), (3, rows[3][1]), (None, " ".join(map(str, range(50))))]
-    got = substring_dedup.deduplicate(docs(rows), digest=True)
-    assert got.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
-    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain(rows)
+    rows += [(None, rows[7][1]), (3, rows[3][1]), (None, " ".join(map(str, range(50)))), (130, rows[5][1]), (130, rows[5][1]), (130, rows[9][1])]
+    assert digests(docs(rows)) == plain(rows)
 
 
-def test_small_chunks_and_other_windows(spark, docs, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 3000)
+def test_small_chunks_other_windows_and_a_tree(spark, docs):
     rows = corpus(2, 60)
-    for window in (5, 20, 50):
-        got = substring_dedup.deduplicate(docs(rows), window, digest=True)
-        assert sorted((tuple(r) for r in got.collect()), key=repr) == plain(rows, window)
+    for window, fan in ((5, 2), (20, 3), (50, 4096)):
+        assert digests(docs(rows), window, chunk_bytes=3000, fan=fan) == plain(rows, window)
+
+
+def test_colliding_hashes_are_found_and_replaced(spark, docs, monkeypatch):
+    rows = corpus(4, 50)
+    found = []
+    real = substring_dedup.differing_runs
+    monkeypatch.setattr(substring_dedup, "differing_runs", lambda *args: found.append(real(*args)) or found[-1])
+    assert digests(docs(rows), chunk_bytes=4000, word_bits=(1, 2, 64)) == plain(rows)
+    assert found[0] > 0 and found[-1] == 0
+
+
+def test_an_id_with_several_texts_and_rows_that_repeat(spark, docs):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(7, passage), (7, passage), (7, passage), (7, passage + " x"), (7, "y " + passage), (3, passage + " z"), (9, passage)] * 2
+    assert digests(docs(rows).repartition(5), chunk_bytes=200) == plain(rows)
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["chunk", "id", "z", "row", "block", "kept", "none", "c0", "to", "n_words", "a.b", "__id"]
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, passage, *[f"{n}{i}" for n in names]) for i in range(3)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = substring_dedup.deduplicate(df)
+    assert got.columns == ["doc_id", "text", *(n for n in names if n != "n_words"), "n_words", "n_removed"]
+    for r in got.collect():
+        i = r["doc_id"]
+        assert r["text"] == (passage if i == 0 else "") and all(r[n] == f"{n}{i}" for n in names if n != "n_words")
+
+
+def test_long_words_are_digested():
+    """Words of 2,048 bytes whose polynomial hashes agree for every odd base, and differ."""
+    one, other = b"a", b"b"
+    for _ in range(11):
+        one, other = one + other, other + one
+    data = np.frombuffer(one + b" " + other, np.uint8)
+    h, _ = recompression.words_of(data, np.array([0, len(data)]))
+    assert h[0] != h[1]
 
 
 def test_texts_and_columns_stay(spark, docs):
