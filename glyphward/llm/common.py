@@ -103,13 +103,14 @@ def training_texts(rows: DataFrame, most: int, chars: int) -> list:
     """Rows (doc_id, label, text) on the driver, from rows (doc_id, label, place, text) that are few already.
 
     For each label whole texts in the order of place, at most `most`, of at most `chars` characters in all; a text that
-    doesn't fit any more is passed over. Rows without id or text are left out; of an id that repeats the least text counts.
+    doesn't fit any more is passed over. Rows without label or text are left out; of an id that repeats the least text
+    counts, and null ids are one id.
     """
-    known = rows.where("doc_id IS NOT NULL AND label IS NOT NULL AND text IS NOT NULL")
+    known = rows.where("label IS NOT NULL AND text IS NOT NULL")
     sizes = known.groupBy("doc_id", "label", "place").agg(F.max(F.length("text")).alias("chars")).collect()
     taken: dict = {}
     chosen = []
-    for r in sorted(sizes, key=lambda r: (r["place"], r["doc_id"])):
+    for r in sorted(sizes, key=lambda r: (r["place"], r["doc_id"] or 0)):
         count, held = taken.get(r["label"], (0, 0))
         if count < most and held + r["chars"] <= chars:
             taken[r["label"]] = count + 1, held + r["chars"]
@@ -118,7 +119,8 @@ def training_texts(rows: DataFrame, most: int, chars: int) -> list:
         return []
     kind = known.schema["label"].dataType.simpleString()
     ids = F.broadcast(rows.sparkSession.createDataFrame(chosen, f"doc_id long, label {kind}"))
-    got = {(r["doc_id"], r["label"]): r for r in known.join(ids, ["doc_id", "label"]).groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()}
+    wanted = known.join(ids, known["doc_id"].eqNullSafe(ids["doc_id"]) & (known["label"] == ids["label"]), "left_semi")
+    got = {(r["doc_id"], r["label"]): r for r in wanted.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()}
     return [got[key] for key in chosen]
 
 

@@ -312,10 +312,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model from at most `sample` labelled documents of each language outside the held-out fold.
 
     One pass counts the labels, one picks ids whose hash falls below each language's share, one reads their texts.
-    Rows without id or text teach nothing; of no labelled row at all comes a model without languages.
+    Rows without text teach nothing; of no labelled row at all comes a model without languages.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("label"))
-    rows = rows.where("label IS NOT NULL AND doc_id IS NOT NULL").where(crc_fold(F.col("doc_id")) != HELD_OUT)
+    rows = rows.where("label IS NOT NULL").where(crc_fold(F.col("doc_id")) != HELD_OUT)
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy("label").limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values")

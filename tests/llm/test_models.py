@@ -101,7 +101,7 @@ def test_without_rows_or_labels(spark, docs):
     empty = docs([], schema)
     assert language_id.identify(empty, language_id.train(empty)).collect() == []
     assert language_id.keep_accepted(empty, language_id.train(empty)).collect() == []
-    bare = docs([(1, "some words", None), (2, None, None), (3, "12", None), (None, "more", "aa")], schema)
+    bare = docs([(1, "some words", None), (2, None, None), (3, "12", None), (None, "more", None)], schema)
     got = language_id.identify(bare, language_id.train(bare)).collect()
     assert [(r["doc_id"], r["lang_pred"], r["score"], r["rejected"]) for r in sorted(got, key=lambda r: r["doc_id"] or 9)] == [(1, "und", 0.0, False), (2, "und", 0.0, True), (3, "und", 0.0, True), (None, "und", 0.0, False)]
     assert {r["doc_id"] for r in language_id.keep_accepted(bare, language_id.train(bare)).collect()} == {1, None}
@@ -129,9 +129,9 @@ def test_pieces_groups_and_small_memos_change_nothing(monkeypatch):
 def test_texts_for_training_are_bounded_in_characters(spark):
     from glyphward.llm.common import training_texts
 
-    rows = [(i, "a" if i % 2 else "b", i, "x" * 10) for i in range(20)] + [(100, "a", -1, "y" * 1000), (3, "a", 3, "w" * 9), (None, "a", 0, "z"), (7, None, 0, "z"), (8, "b", 0, None)]
-    got = training_texts(spark.createDataFrame(rows, "doc_id long, label string, place long, text string"), 4, 35)
-    assert [(r["doc_id"], r["text"]) for r in got if r["label"] == "a"] == [(1, "x" * 10), (3, "w" * 9), (5, "x" * 10)]
+    rows = [(i, "a" if i % 2 else "b", i, "x" * 10) for i in range(20)] + [(100, "a", -1, "y" * 1000), (3, "a", 3, "w" * 9), (None, "a", 0, "z"), (None, "a", 0, "zz"), (7, None, 0, "z"), (8, "b", 0, None)]
+    got = training_texts(spark.createDataFrame(rows, "doc_id long, label string, place long, text string"), 4, 36)
+    assert [(r["doc_id"], r["text"]) for r in got if r["label"] == "a"] == [(None, "z"), (1, "x" * 10), (3, "w" * 9), (5, "x" * 10)]
     assert [r["doc_id"] for r in got if r["label"] == "b"] == [0, 2, 4]
 
 
