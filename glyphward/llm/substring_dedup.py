@@ -100,9 +100,10 @@ class Chunk:
         self.hash = window_hashes(words, window)[p]
         side = s - p >= half
         key = mix(np.where(side, mix(self.name + before), mix(self.name * _ODD + after)))
-        #: Distinct keys in order, each window's, and whether a key repeats in the chunk.
-        self.keys, self.key, count = np.unique(key, return_inverse=True, return_counts=True)
-        self.shared = count > 1
+        #: Distinct keys in order, each window's, and whether a key stands at several anchors of the chunk.
+        self.keys, self.key = np.unique(key, return_inverse=True)
+        places = np.unique(self.key.astype(np.int64) * max(1, len(words)) + s)
+        self.shared = np.bincount(places // max(1, len(words)), minlength=len(self.keys)) > 1
 
     def receivers(self, n: int) -> np.ndarray:
         """The receiver of each key, in the order of keys."""
