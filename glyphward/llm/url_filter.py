@@ -1,12 +1,14 @@
 """URL filters: host and path rules, and a logistic regression on hashed character n-grams for the rest.
 
-The model is fitted on the driver from a small labelled URL table (at most MAX_TRAIN rows); its weights are
-integers, so that sums don't depend on their order. Judging runs as SQL expressions only.
+The model is fitted on the driver from a small labelled URL table (labelled_urls.tsv beside this module, or any of at
+most MAX_TRAIN rows), three rows of four; the fourth ones are held out to measure it. Its weights are integers, so
+that sums don't depend on their order. Judging runs as SQL expressions only.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
 from functools import lru_cache
 
@@ -15,27 +17,30 @@ from pyspark.sql import functions as F
 
 #: The rules of the query, as (verdict, rule).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-MAX_RULES = 1000
+#: Rules of one expression; more make several.
+RULES_AT_ONCE = 500
 MAX_TRAIN = 5000
-BUCKETS = 2048
+#: The labelled table, and which of its rows (by place, modulo HELD_OUT) are kept from fitting.
+LABELLED = os.path.join(os.path.dirname(__file__), "labelled_urls.tsv")
+HELD_OUT = 4
+BUCKETS = 8192
 GRAM = 3
 SCALE = 1 << 16
 _FIRST = 31 * 31
 _PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BLOCK = "casino poker betting jackpot slots adult xxx webcam escort warez torrent crack keygen malware phish pills pharma loans payday clickbait tracker adserver popup spam".split()
-_ALLOW = "news docs wiki blog library school museum recipes weather science music garden travel history health sports forum support about archive research kids books maps".split()
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table: each word once as a host and once as a path; 1 stands for block."""
-    ends = ("com", "net", "org", "info")
-    rows = []
-    for label, words in ((1, _BLOCK), (0, _ALLOW)):
-        for i, w in enumerate(words):
-            rows.append((f"http://www.{w}{i}.{ends[i % 4]}/", label))
-            rows.append((f"https://site{i}.{ends[(i + 1) % 4]}/{w}/{i}", label))
-    return rows
+def labelled_urls(path: str = LABELLED) -> list[tuple[str, int]]:
+    """The rows of a labelled table, tab-separated with a header, as (url, 1 for block or 0 for allow)."""
+    with open(path, encoding="utf-8") as f:
+        rows = [line.rstrip("\n").split("\t") for line in f][1:]
+    return [(url, int(verdict == "block")) for verdict, url in rows]
+
+
+def parts(rows: list[tuple[str, int]]) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
+    """Rows to fit, and rows held out."""
+    return [r for i, r in enumerate(rows) if i % HELD_OUT], rows[::HELD_OUT]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -52,8 +57,8 @@ def grams(host: str, path: str) -> list[int]:
     return out
 
 
-def fit(urls: list[tuple[str, int]], epochs: int = 120, rate: float = 0.05, decay: float = 1e-3) -> tuple[int, list[int]]:
-    """Bias and weights, scaled to integers, by plain gradient steps over the rows in the order given."""
+def fit(urls: list[tuple[str, int]], epochs: int = 200, rate: float = 0.02, decay: float = 0.02, weight: float = 2.0) -> tuple[int, list[int]]:
+    """Bias and weights, scaled to integers, by plain gradient steps over the rows in the order given; a row to block counts `weight` times."""
     if len(urls) > MAX_TRAIN:
         raise ValueError(f"a labelled table of at most {MAX_TRAIN} urls is expected")
     rows = [(grams(*split_url(u)), y) for u, y in urls]
@@ -61,7 +66,7 @@ def fit(urls: list[tuple[str, int]], epochs: int = 120, rate: float = 0.05, deca
     for _ in range(epochs):
         for x, y in rows:
             z = bias + sum(w[b] for b in x)
-            step = rate * (y - 1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
+            step = rate * (weight if y else 1.0) * (y - 1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
             bias += step
             for b in x:
                 w[b] += step - rate * decay * w[b]
@@ -70,14 +75,12 @@ def fit(urls: list[tuple[str, int]], epochs: int = 120, rate: float = 0.05, deca
 
 @lru_cache(maxsize=1)
 def default_model() -> tuple[int, tuple[int, ...]]:
-    bias, w = fit(labelled_urls())
+    bias, w = fit(parts(labelled_urls())[0])
     return bias, tuple(w)
 
 
 def _ordered(rules) -> list[tuple[str, str]]:
     """Longest rule first, then by code point; of equal rules the first verdict holds."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules are compiled to an expression")
     return sorted(rules, key=lambda r: (-len(r[1]), r[1]))
 
 
@@ -114,16 +117,17 @@ def judge(pages: DataFrame, rules=RULES, model=None, id_col: str = "page_id", ur
         F.coalesce(F.regexp_extract(url, _PATTERN, 2), F.lit("")).alias("path"),
     )
     host, path = F.col("host"), F.col("path")
-    ordered = _ordered(rules)
-    rule = verdict = None
-    for v, r in ordered:
-        holds = _rule_holds(host, path, r)
-        rule = F.when(holds, r) if rule is None else rule.when(holds, r)
-        verdict = F.when(F.col("rule") == r, v) if verdict is None else verdict.when(F.col("rule") == r, v)
-    base = base.withColumn("rule", rule if rule is not None else F.lit(None).cast("string"))
+    ordered, found = _ordered(rules), []
+    for at in range(0, len(ordered), RULES_AT_ONCE):
+        case = F
+        for v, r in ordered[at : at + RULES_AT_ONCE]:
+            case = case.when(_rule_holds(host, path, r), F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict")))
+        found.append(case)
+    none = F.lit(None).cast("struct<rule:string,verdict:string>")
+    base = base.withColumn("found", F.coalesce(*found, none)).withColumn("rule", F.col("found.rule"))
     base = base.withColumn("score", F.when(F.col("rule").isNotNull(), F.lit(0).cast("long")).otherwise(_score(host, path, model or default_model())))
     by_model = F.when(F.col("score") > 0, "block").otherwise("allow")
-    return base.select("page_id", "host", "path", "rule", (F.coalesce(verdict, by_model) if verdict is not None else by_model).alias("verdict"), "score")
+    return base.select("page_id", "host", "path", "rule", F.coalesce("found.verdict", by_model).alias("verdict"), "score")
 
 
 def oracle(rules=RULES) -> str:

@@ -35,15 +35,32 @@ def test_urls(spark):
     assert got[17, "casino.info", "/poker/betting"]["verdict"] == "block" and got[18, "docs.org", "/wiki/library"]["verdict"] == "allow"
 
 
-def test_labelled_table_is_learned():
-    bias, w = url_filter.default_model()
+def right(model, rows):
+    bias, w = model
+    return [(bias + sum(w[b] for b in url_filter.grams(*url_filter.split_url(u))) > 0) == bool(y) for u, y in rows]
+
+
+def test_labelled_table_is_learned_and_carries_over():
     rows = url_filter.labelled_urls()
-    right = sum((bias + sum(w[b] for b in url_filter.grams(*url_filter.split_url(u))) > 0) == bool(y) for u, y in rows)
-    assert right == len(rows)
+    fitted, held = url_filter.parts(rows)
+    assert len(rows) == len({u for u, _ in rows}) and sorted(fitted + held) == sorted(rows)
+    assert all(right(url_filter.default_model(), fitted))
+    folds = [right(url_filter.fit([r for i, r in enumerate(rows) if i % 4 != k]), rows[k::4]) for k in range(4)]
+    assert sum(map(sum, folds)) >= 0.85 * len(rows)
+    plainly = ["http://university.edu/", "http://bookshop.org/poetry", "http://malware-research.org/papers"]
+    assert all(right(url_filter.default_model(), [*((u, 0) for u in plainly), ("https://onlinelottery.info/win", 1)]))
     with pytest.raises(ValueError):
         url_filter.fit(rows * 200)
 
 
+def test_more_rules_than_one_expression_holds(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "RULES_AT_ONCE", 2)
+    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    whole = url_filter.judge(df)
+    monkeypatch.undo()
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, url_filter.judge(df).collect()))
+
+
 def test_no_rules_and_empty_table(spark):
     df = spark.createDataFrame([(1, "http://example.net/es/")], "page_id long, url string")
     assert url_filter.judge(df, rules=()).first()["rule"] is None
