@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: what stands between space, tab, line feed, vertical tab, form feed and carriage return.
@@ -67,6 +67,20 @@ def durable_by(df: DataFrame, key: str, *order: str) -> DataFrame:
         spark.conf.set(name, before)
 
 
+def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """df with a column that numbers its rows from 0 on in this order, which must tell all rows apart; no task sees all of them."""
+    _shared_folder(df.sparkSession)
+    ranges = df.repartitionByRange(shuffles(df.sparkSession), order).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    counts = {r["_part"]: r["count"] for r in ranges.groupBy("_part").count().collect()}  # one row for each partition
+    start, before = [], 0
+    for part in range(max(counts, default=-1) + 1):
+        start.append(before)
+        before += counts.get(part, 0)
+    first = F.element_at(F.array(*map(F.lit, start or [0])), F.col("_part") + 1).cast("long")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return ranges.withColumn(name, first + place - 1).drop("_part")
+
+
 def shuffles(spark: SparkSession) -> int:
     """The number of shuffle partitions, which the cluster sets in proportion to its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -71,6 +71,45 @@ def test_mixed_documents(spark, docs):
     assert all(got[i, n] * n == t for (i, n), t in want.items())
 
 
+def test_inclusion_grows_with_importance(spark, docs):
+    """Of documents of 9 and of 900 words (importance 3 and 30) the shares taken are the inclusion probabilities, solved by bisection."""
+    rng = random.Random(12)
+    sizes = {(s, i): rng.choice([9] * 30 + [900]) for s in "ab" for i in range(3000)}
+    rows = [(k, " ".join(["w"] * n), s) for k, ((s, i), n) in enumerate(sizes.items())]
+    got = source_mix.mix(docs(rows, "doc_id long, text string, source string")).collect()
+    by = {k: s for k, _, s in rows}
+    for source in "ab":
+        mine = [r for r in got if by[r["doc_id"]] == source]
+        whole = int(mine[0]["target"] // mine[0]["source_size"])
+        rest = mine[0]["target"] - whole * mine[0]["source_size"]
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(min(1, c * r["size"] ** 0.5) * r["size"] for r in mine) < rest else (low, c)
+        for size in (9, 900):
+            some = [r for r in mine if r["size"] == size]
+            share = sum(r["taken"] > whole * size for r in some) / len(some)
+            assert abs(share - min(1, low * size**0.5)) < (0.03 if size == 9 else 0.08), (source, size, share, low)
+
+
+def test_sources_are_numbered_over_many_tasks(spark):
+    from glyphward.llm.common import numbered
+
+    names = [None, "", "é", "z", "Z", "日本", *(f"s{i}" for i in range(200))]
+    random.Random(3).shuffle(names)
+    df = spark.createDataFrame([(n,) for n in names], "source string").repartition(6)
+    got = {r["source"]: r["at"] for r in numbered(df, F.col("source").asc_nulls_last(), "at").collect()}
+    assert got == {n: k for k, n in enumerate(sorted(names, key=lambda n: (n is None, (n or "").encode())))}
+
+
+def test_a_third_of_rows_without_id(spark, docs):
+    rows = [(None, f"some text number {i}", "a") for i in range(300)] + [(i, f"w{i} " * 5, "b") for i in range(600)]
+    got = source_mix.mix(docs(rows, "doc_id long, text string, source string")).collect()
+    for source, ids in (("a", [None]), ("b", range(600))):
+        mine = [r for r in got if (r["doc_id"] is None) == (source == "a")]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 5
+
+
 def test_mix_of_nothing(spark, docs):
     assert source_mix.mix(docs([], "doc_id long, text string, source string")).collect() == []
     assert source_mix.mix(docs([(1, None, None)], "doc_id long, text string, source string")).first()["taken"] == 0
