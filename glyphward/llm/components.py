@@ -18,22 +18,22 @@ def _lowest(edges: DataFrame) -> DataFrame:
     return edges.withColumn("k", F.bitwise_not("u")).join(m.hint("merge"), "k").drop("k")
 
 
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether a node has several lower neighbours, or lower and higher ones; else all components are stars."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return bool(ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").take(1))
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """node, root (the lowest node that links reach) for each node in links (u, v), two long columns.
 
     Links with a null end and from a node to itself count for nothing; links may repeat.
     """
     edges = durable(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
-    while True:
+    while _unfinished(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _lowest(both).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = _lowest(large)
         small = low.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = durable(small)
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")).first()
-        if now == state:
-            break
-        state = now
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

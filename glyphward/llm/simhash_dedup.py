@@ -5,18 +5,20 @@ segments (22, 21 and 21 bits) are padded to Golay words. Fingerprints that diffe
 in one segment at least (pigeonhole), and in the next one their nearby codewords share an index; so each
 fingerprint has keys of an exact segment and a codeword index, and what shares a key is verified.
 
-Only distinct fingerprints are linked. A key that very many of them share is split into chunks, and each two
-chunks meet in a task of their own, which passes on a spanning forest of its links: no pairs leave a task.
+Only distinct fingerprints are linked. A key that very many of them share is refined: of three pieces of the bits
+outside its segment, two linked fingerprints agree in one. What very many share even then is split into chunks, and
+each two chunks meet in a task of their own. A task passes on a spanning forest of its links: no pairs leave it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import durable, few_rows
+from .common import column, durable, few_rows
 from .components import connected_components
 from .golay import nearby
 
@@ -82,53 +84,101 @@ def forest(fps: np.ndarray, left: np.ndarray | None = None) -> list[tuple[int, i
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long) for each row."""
+    return printed(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))).select("doc_id", "fp")
+
+
+def printed(rows: DataFrame) -> DataFrame:
+    """rows (with a column text) and the fingerprint of each, fp."""
+    names = [f.name for f in rows.schema if f.name != "text"]
+    at, keep = rows.columns.index("text"), [rows.columns.index(n) for n in names]
 
     def run(batches):
         for batch in few_rows(batches):
-            fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(fp, pa.int64())], names=[*names, "fp"])
+
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[n] for n in names), T.StructField("fp", T.LongType())]))
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+def _finer(key: Column, fp: Column) -> Column:
+    """Three keys, one of which two fingerprints of a key that are linked share: pieces of the bits outside the key's segment."""
+    rest = F
+    for k, (shift, bits) in enumerate(SEGMENTS):
+        above = F.shiftleft(F.shiftrightunsigned(fp, shift + bits), shift) if shift + bits < 64 else F.lit(0).cast("long")
+        rest = rest.when(F.shiftright(key, 34) == k, above.bitwiseOR(fp.bitwiseAND(F.lit((1 << shift) - 1))))
+    pieces = (rest.bitwiseAND(F.lit(0x3FFF)), F.shiftright(rest, 14).bitwiseAND(F.lit(0x3FFF)), F.shiftright(rest, 28))
+    return F.array(*(F.xxhash64(key, F.lit(j), p) for j, p in enumerate(pieces)))
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """key, fp, n: the rows of keys that n > 1 fingerprints share."""
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.bitwise_not("key").alias("k"), "n")
+    # dealt anew by its complement, so that a frequent key can be split
+    return keyed.withColumn("k", F.bitwise_not("key")).join(shared.hint("merge"), "k").select("key", "fp", "n")
+
+
+def _whole_groups(batches):
+    """Sorted batches, cut so that rows of equal key, low and high come in one piece."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table]).combine_chunks()
+        last = [table.column(c)[-1].as_py() for c in ("key", "low", "high")]
+        same = np.logical_and.reduce([table.column(c).to_numpy() == x for c, x in zip(("key", "low", "high"), last, strict=True)])
+        cut = int(np.flatnonzero(same)[0])
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut)
+    if held is not None:
+        yield held
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """u, v: links of distinct fingerprints (column fp) within two bits, enough to connect all that are linked."""
 
     def spread(batches):
-        for batch in few_rows(batches):
+        for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             keys, owner = keys_of(fps.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[owner])], names=["key", "fp"])
 
     def verify(batches):
-        batches = list(batches)
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        key, low, high, chunk, fp = (table.column(c).to_numpy() for c in ("key", "low", "high", "chunk", "fp"))
-        order = np.lexsort((fp, high, low, key))
-        key, low, high, chunk, fp = key[order], low[order], high[order], chunk[order], fp[order].view(np.uint64)
-        start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(key) else np.zeros(0, int)
-        u, v = [], []
-        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
-            if b - a == 2:
-                if (low[a] == high[a] or chunk[a] != chunk[a + 1]) and int(fp[a] ^ fp[a + 1]).bit_count() <= DISTANCE:
-                    u.append(fp[a])
-                    v.append(fp[a + 1])
-            elif b - a > 2:
-                for i, j in forest(fp[a:b], None if low[a] == high[a] else chunk[a:b] == low[a]):
-                    u.append(fp[a + i])
-                    v.append(fp[a + j])
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (u, v)], names=["u", "v"])
-
-    keyed = distinct.select("fp").mapInArrow(spread, "key long, fp long")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.bitwise_not("key").alias("k"), "n")
-    met = keyed.withColumn("k", F.bitwise_not("key")).join(shared.hint("merge"), "k")  # dealt anew by its complement, so that a frequent key can be split
+        for table in _whole_groups(batches):
+            key, low, high, chunk = (table.column(c).to_numpy() for c in ("key", "low", "high", "chunk"))
+            fp = table.column("fp").to_numpy().view(np.uint64)
+            start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))
+            u, v = [], []
+            for a, b in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
+                if b - a == 2:
+                    if (low[a] == high[a] or chunk[a] != chunk[a + 1]) and int(fp[a] ^ fp[a + 1]).bit_count() <= DISTANCE:
+                        u.append(fp[a])
+                        v.append(fp[a + 1])
+                elif b - a > 2:
+                    for i, j in forest(fp[a:b], None if low[a] == high[a] else chunk[a:b] == low[a]):
+                        u.append(fp[a + i])
+                        v.append(fp[a + j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (u, v)], names=["u", "v"])
+
+    met = _met(distinct.select("fp").mapInArrow(spread, "key long, fp long"))
+    finer = _met(met.where(F.col("n") > CHUNK).select(F.explode(_finer(F.col("key"), F.col("fp"))).alias("key"), "fp"))
+    met = met.where(F.col("n") <= CHUNK).unionByName(finer)
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     met = met.select("key", "fp", F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "fp")
-    return met.repartition("key", "low", "high").mapInArrow(verify, "u long, v long")
+    return met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "fp").mapInArrow(verify, "u long, v long")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, fp, root (the lowest fingerprint that links reach), component_id for each row."""
+    own = durable(fingerprints(docs, id_col, text_col))
+    least = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(links(least))
+    label = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    low = label.groupBy("root").agg(F.min("least").alias("component_id")).select(F.bitwise_not("root").alias("k"), "component_id")
+    named = label.select("fp", "root", F.bitwise_not("root").alias("k")).join(low.hint("merge"), "k").select(F.bitwise_not("fp").alias("k"), "root", "component_id")
+    return own.withColumn("k", F.bitwise_not("fp")).join(named.hint("merge"), "k").drop("k")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,26 +188,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text has no words, so fingerprint zero, linked like any other. Repeated rows and null ids stay; an empty
     table gives an empty result; other columns are not read.
     """
-    own = durable(fingerprints(docs, id_col, text_col))
-    least = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(least))
-    label = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    low = label.groupBy("root").agg(F.min("least").alias("component_id")).select(F.bitwise_not("root").alias("k"), "component_id")
-    named = label.select("fp", F.bitwise_not("root").alias("k")).join(low.hint("merge"), "k").select(F.bitwise_not("fp").alias("k"), "component_id")
-    out = own.withColumn("k", F.bitwise_not("fp")).join(named.hint("merge"), "k")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _labelled(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group of near-duplicates, that of the smallest id.
+    """docs with one document of each group of near-duplicates, all columns as they are.
 
-    Of rows that repeat this id one stays. Rows without an id stay only where their whole group has none.
+    Of a group the row of the smallest id stays, any id before none; of rows that share this id those with the lowest
+    fingerprint; of these the one with the least text. Rows of one id whose texts aren't alike are in groups of
+    their own, and one of each stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    named = docs.where(docs[id_col].isNotNull())
-    kept = named.join(stay.hint("merge"), named[id_col].cast("long") == F.col("__stay"), "left_semi").dropDuplicates([id_col])
-    nameless = found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fingerprint").alias("__fp")).distinct()
-    rest = docs.where(docs[id_col].isNull())
-    prints = F.udf(lambda t: f"{fingerprint(t):016x}")
-    return kept.unionByName(rest.join(nameless, prints(rest[text_col].cast("string")) == F.col("__fp"), "left_semi"))
+    found = durable(_labelled(docs, id_col, text_col).select("doc_id", "fp", "root"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("b"))
+    stay = durable(best.select("b.doc_id", "b.fp"))
+    several = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("several")).where("several").select("doc_id")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.struct(*(column(docs, c).alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("row"))
+    # Most ids have one fingerprint, known by now; only rows of others, and those without id, are printed once more.
+    ids = stay.where("doc_id IS NOT NULL")
+    plain = rows.join(ids.join(several, "doc_id", "left_anti").select("doc_id").hint("merge"), "doc_id", "left_semi").withColumn("fp", F.lit(None).cast("long"))
+    odd = rows.join(several.join(ids, "doc_id", "left_semi").hint("merge"), "doc_id", "left_semi").unionByName(rows.where("doc_id IS NULL"))
+    odd = printed(odd.withColumn("kept", F.col("text"))).withColumnRenamed("kept", "text")
+    odd = odd.join(stay.withColumnsRenamed({"doc_id": "i", "fp": "f"}).hint("merge"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f")), "left_semi")
+    first = Window.partitionBy("doc_id", "fp").orderBy("text")
+    kept = plain.unionByName(odd).withColumn("rn", F.row_number().over(first)).where("rn = 1")
+    return kept.select(*(F.col("row").getField(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))

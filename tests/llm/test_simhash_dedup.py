@@ -61,6 +61,45 @@ def test_chunks_give_the_same(spark, docs, monkeypatch):
     assert sorted((tuple(r) for r in simhash_dedup.near_duplicates(docs(rows)).collect()), key=repr) == plain_components(rows)
 
 
+def test_one_of_each_group_stays(spark, docs):
+    rows = [*corpus(), (3, "another text of an id that repeats, unlike its first one"), (3, "another text of an id that repeats, unlike its first one"), (None, "lone words of no id at all"), (None, "LONE words of no id at all")]
+    kept = [(r["doc_id"], r["text"]) for r in simhash_dedup.keep_one(docs(rows)).collect()]
+    labels = [(i, plain_fingerprint(t), t) for i, t in rows]
+    root = list(range(len(labels)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(labels)):
+            for b in range(len(labels)):
+                if root[b] < root[a] and (labels[a][1] ^ labels[b][1]).bit_count() <= 2:
+                    root[a], changed = root[b], True
+    signed = lambda fp: fp - (1 << 64) if fp >> 63 else fp
+    best = {}
+    for x, (i, fp, t) in enumerate(labels):
+        key = (i is None, i or 0, signed(fp), t is not None, t or "")
+        if root[x] not in best or key < best[root[x]][0]:
+            best[root[x]] = (key, (i, t))
+    assert sorted(kept, key=repr) == sorted((r for _, r in best.values()), key=repr)
+    assert simhash_dedup.keep_one(docs([])).collect() == []
+
+
+def test_finer_keys_keep_all_links(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for n, (shift, bits) in enumerate(simhash_dedup.SEGMENTS):
+        for _ in range(200):
+            fp = int(rng.integers(0, 1 << 64, dtype=np.uint64))
+            other = fp
+            for b in rng.choice([b for b in range(64) if not shift <= b < shift + bits], 2, replace=False):
+                other ^= 1 << int(b)
+            rows.append([n << 34 | 5, *(int(np.uint64(x).view(np.int64)) for x in (fp, other))])
+    df = spark.createDataFrame(rows, "key long, a long, b long")
+    shared = F.arrays_overlap(simhash_dedup._finer(F.col("key"), F.col("a")), simhash_dedup._finer(F.col("key"), F.col("b")))
+    assert df.where(~shared).count() == 0
+
+
 def test_empty_table(spark, docs):
     assert simhash_dedup.near_duplicates(docs([])).collect() == []
 
