@@ -6,7 +6,11 @@ finds at a position, keeps it if re-merging it with the piece before leaves both
 the next shorter one, and steps back when none is left; a bitfield remembers positions that failed.
 
 No piece has the space mark after another character, so merges never cross from a word into the mark of
-the next: a text is encoded segment by segment (marks, then other characters), with a bounded memo.
+the next: a text is encoded segment by segment (marks, then other characters), with a bounded memo. A long segment's
+matches are found block by block as the encoder comes to them, so it costs some ten bytes a character.
+
+Several marks before a word merge plainly, as pieces of marks share one score, up to the first place that no piece
+crosses. Only where there is none within a segment is all of it merged plainly, at some 300 bytes a character.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +30,10 @@ from .common import few_rows
 MARK = "▁"
 MEMO = 500_000
 LONGEST_MEMO = 64
+#: Characters whose matches are held at a time.
+BLOCK = 1 << 14
+#: Texts that the codec must encode and decode as the library does before it is used at all.
+PROBES = ("", " ", "Hello world", "  two  spaces ", "tab\tand\nline\r\n", "\u00e9 e\u0301 \ufb01 \uff21 \u00a0x", "\u2581 \u2581\u2581a", "\u6f22\u5b57 \U0001f600", "a" * 40, "<s> </s> <unk>", "0123 4,5", "\u200bx\x00y")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -53,8 +62,11 @@ class Codec:
             if MARK * 2 not in p and self.merge(p) == [p]:
                 self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.ids), default=1)
         self.fits: dict[tuple[str, str], bool] = {}
         self.memo = _Segments(self)
+        if any((got := self.encode(t)) != sp.encode(t) or self.decode(got) != sp.decode(got) for t in PROBES):
+            raise ValueError("not a merge-type model without normalization, as this codec has it")
 
     def merge(self, text: str) -> list[str]:
         """Plain merging: best score first, leftmost among equals."""
@@ -84,44 +96,98 @@ class Codec:
             ok = self.fits[a, b] = self.merge(a + b) == [a, b]
         return ok
 
+    def _options(self, text: str, block: int) -> list[list[int]]:
+        """Lengths of the pieces at each position of a block of the text, growing; one character always is one."""
+        low = block * BLOCK
+        high = min(len(text), low + BLOCK)
+        lengths: list[list[int]] = [[1] for _ in range(high - low)]
+        for end, size in self.automaton.iter(text, low, min(len(text), high + self.longest)):
+            at = end - size + 1
+            if size > 1 and at < high:
+                lengths[at - low].append(size)
+        return lengths
+
     def backtrack(self, text: str) -> list[str]:
         """The pieces of a segment with at most one space mark in front."""
+        out, at = [], 0
+        for size in self._sizes(text):
+            out.append(text[at : at + size])
+            at += size
+        return out
+
+    def _sizes(self, text: str) -> array:
+        """The lengths of the pieces of a segment with at most one space mark in front."""
         n = len(text)
-        # Lengths of the pieces at each position; one character always is one. The automaton gives them by end, so each list grows.
-        lengths: list[list[int]] = [[1] for _ in range(n)]
-        for end, size in self.automaton.iter(text):
-            if size > 1:
-                lengths[end - size + 1].append(size)
+        blocks: dict[int, list[list[int]]] = {}
+
+        def lengths(at: int) -> list[int]:
+            block = at // BLOCK
+            if (known := blocks.get(block)) is None:
+                if len(blocks) > 1:  # steps back seldom reach far
+                    del blocks[min(blocks, key=lambda b: -abs(b - block))]
+                known = blocks[block] = self._options(text, block)
+            return known[at - block * BLOCK]
+
         dead = bytearray(n + 1)
-        taken: list[str] = []
-        choice: list[int] = []  # index of the option taken, one for each piece
-        at, option = 0, len(lengths[0]) - 1 if n else -1
+        taken = array("H")
+        choice = array("B")  # index of the option taken, one for each piece
+        at, option = 0, len(lengths(0)) - 1 if n else -1
         while at < n:
+            here = lengths(at)
             while option >= 0:
-                end = at + lengths[at][option]
-                if not dead[end] and (not taken or self.compatible(taken[-1], text[at:end])):
+                end = at + here[option]
+                if not dead[end] and (not taken or self.compatible(text[at - taken[-1] : at], text[at:end])):
                     break
                 option -= 1
             if option >= 0:
-                taken.append(text[at:end])
+                taken.append(here[option])
                 choice.append(option)
                 at = end
-                option = len(lengths[at]) - 1 if at < n else -1
+                option = len(lengths(at)) - 1 if at < n else -1
                 continue
             dead[at] = 1
-            at -= len(taken.pop())
+            at -= taken.pop()
             option = choice.pop() - 1
         return taken
 
-    def segment_ids(self, segment: str) -> list[int]:
-        # Pieces of several marks share one score, so runs of marks go by plain merging, where the leftmost wins.
-        parts = self.merge(segment) if segment.startswith(MARK * 2) else self.backtrack(segment)
-        out: list[int] = []
-        for p in parts:
-            if (i := self.ids.get(p)) is not None:
+    def _parts(self, segment: str):
+        """The pieces of a segment, one after the other."""
+        at = 0
+        if segment.startswith(MARK * 2):
+            at = self._apart(segment)
+            yield from self.merge(segment[:at])
+        rest = segment[at:] if at else segment
+        at = 0
+        for size in self._sizes(rest):
+            yield rest[at : at + size]
+            at += size
+
+    def _apart(self, segment: str) -> int:
+        """Behind the leading marks, the first place that no piece crosses; the segment's end if there is none."""
+        first = len(segment) - len(segment.lstrip(MARK))
+        if first == len(segment):
+            return first
+        reach = first + 1  # pieces that begin before a place reach so far
+        for at in range(first, len(segment)):
+            if at > first and reach <= at:
+                return at
+            for size in range(2, min(self.longest, len(segment) - at) + 1):
+                if at + size > reach and segment[at : at + size] in self.ids:
+                    reach = at + size
+            if at == first:  # pieces that begin with marks
+                for k in range(1, min(first, self.longest) + 1):
+                    for size in range(k + 1, min(self.longest, len(segment) - first + k) + 1):
+                        if first - k + size > reach and segment[first - k : first - k + size] in self.ids:
+                            reach = first - k + size
+        return len(segment)
+
+    def segment_ids(self, segment: str) -> array:
+        out, ids = array("i"), self.ids
+        for p in self._parts(segment):
+            if (i := ids.get(p)) is not None:
                 out.append(i)
             elif self.bytes:
-                out += [self.bytes[b] for b in p.encode()]
+                out.extend([self.bytes[b] for b in p.encode()])
             else:
                 out.append(self.unknown)
         return out
@@ -184,7 +250,7 @@ class _Segments(dict):
     def __missing__(self, part: str) -> str:
         if (known := self.older.get(part)) is None:
             got = self.codec.segment_ids(part if part.startswith(MARK * 2) else MARK + part)
-            known = ",".join(map(str, got))
+            known = ",".join(",".join(map(str, got[i : i + BLOCK])) for i in range(0, len(got), BLOCK))
             if (spelled := self.codec.spelled(got)) != _spaced(part):
                 self.odd[part] = spelled
         if len(part) <= LONGEST_MEMO:
@@ -212,7 +278,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         c = codec(model_path)
         for batch in few_rows(batches):
             rows = [c.quick(t or "") for t in batch.column(1).to_pylist()]
-            ids = [np.array(i.split(","), np.int32) if i else np.zeros(0, np.int32) for i, _ in rows]
+            ids = [np.fromstring(i, np.int32, sep=",") if i else np.zeros(0, np.int32) for i, _ in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([d for _, d in rows], pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

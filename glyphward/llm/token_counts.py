@@ -23,6 +23,8 @@ from .common import few_rows
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LIMIT = 512
 MEMO = 400_000
+#: Texts that a vocabulary must count as the library does before it is used at all.
+PROBES = ("", " ", "Hello world's", "  two  spaces ", "tab\tand\nline\r\n  x", "\u00e9 e\u0301 \ufb01 \uff21 \u00a0x", "\u2581 a", "\u6f22\u5b57 \U0001f600", "a" * 40, "<|endoftext|> <s>a</s>", "0123456789 4,5", "\u200bx\x00y", "don't WE'LL")
 #: Pre-tokens of so many bytes are merged by scanning.
 SHORT = 40
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -101,8 +103,17 @@ class Vocabulary:
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a file; ValueError if the file asks for another pattern, normalization or treatment of special strings."""
+    from tokenizers import Tokenizer
+
     with open(path, encoding="utf-8") as f:
-        return Vocabulary(json.load(f))
+        v = Vocabulary(json.load(f))
+    library = Tokenizer.from_file(path)
+    for text in PROBES:
+        parts, n = v.pieces(text)
+        if n + sum(times * v.merged(part.encode()) for part, times in parts.items()) != len(library.encode(text, add_special_tokens=False).ids):
+            raise ValueError("not a byte-level vocabulary with the pattern that is counted here")
+    return v
 
 
 @lru_cache(maxsize=4)

@@ -57,6 +57,46 @@ def test_backtracking_is_plain_merging():
         assert c.backtrack(text) == c.merge(text)
 
 
+def test_long_segments_block_by_block(monkeypatch):
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=PIECE), random.Random(6)
+    monkeypatch.setattr(piece_codec, "BLOCK", 16)
+    c = piece_codec.Codec(PIECE)
+    known = [p.replace("\u2581", "") for p in rng.sample(sorted(c.ids), 400)]
+    for _ in range(60):
+        text = "".join(rng.choice(["a", "\u00e9", "\u6f22", *known]) for _ in range(rng.randint(1, 300)))
+        for lead in ("", " ", "  ", "   ", " " * 9, "\u2581\u2581 "):
+            assert c.encode(lead + text) == library.encode(lead + text), lead + text
+    monkeypatch.setattr(piece_codec, "BLOCK", 1 << 14)
+    long = "".join(rng.choice(known) for _ in range(60_000))
+    for text in (long, "  " + long, "z" * 100_000):
+        assert c.encode(text) == library.encode(text)
+
+
+def test_a_long_segment_takes_little_memory():
+    import tracemalloc
+
+    c, rng = piece_codec.codec(PIECE), random.Random(7)
+    text = "".join(rng.choice("abcdefghijklmnop") for _ in range(1 << 20))
+    c.segment_ids("\u2581" + text)  # fills the bounded memo of pairs
+    tracemalloc.start()
+    c.segment_ids("\u2581" + text)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 24 * len(text)
+
+
+def test_other_settings_are_refused(tmp_path):
+    import json
+
+    with open(BYTE, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            token_counts.vocabulary(str(path))
+
+
 def test_decoding_ids(spark):
     c, library = piece_codec.codec(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
     rng = random.Random(3)
