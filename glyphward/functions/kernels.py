@@ -11,11 +11,13 @@ from collections.abc import Callable
 from functools import cached_property
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import icu
 from ..unicode_tables import LEVELS, POLICIES, TYPE_BIT, UnicodeTables
+from .batches import BatchFunctions, pieces
 from .text import TextFunctions, valid_code_point
 
 CHECK = "struct<normalized:string,skeleton:string,level:int,number_systems:array<int>,problems:int,accepted:boolean>"
@@ -23,6 +25,7 @@ FINDING = "struct<kind:string,position:int,length:int,text:string,message:string
 INSPECTION = f"struct<acceptable:boolean,findings:array<{FINDING}>,clean:string,key:string,level:int>"
 
 _live: dict[int, TextFunctions] = {}
+_batch: dict[int, BatchFunctions] = {}
 _tables: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
@@ -34,6 +37,14 @@ def _functions(shipped) -> TextFunctions:
     return _live[shipped.id_]
 
 
+def _batch_functions(shipped) -> BatchFunctions:
+    """One BatchFunctions for each broadcast in each worker."""
+    if shipped.id_ not in _batch:
+        _batch.clear()
+        _batch[shipped.id_] = BatchFunctions(_functions(shipped))
+    return _batch[shipped.id_]
+
+
 class _Shipped:
     """A broadcast with an identity that outlives pickling."""
 
@@ -59,6 +70,11 @@ def permitted_level(level: int | str) -> int:
     return number
 
 
+def known_profile(profile) -> frozenset[int] | None:
+    """The code points of a profile; None is the General Security Profile."""
+    return None if profile is None else frozenset(valid_code_point(int(cp)) for cp in profile)
+
+
 def known_policy(policy: str) -> str:
     if policy not in POLICIES:
         raise ValueError(f"not a policy: {policy}")
@@ -95,42 +111,42 @@ class Unicode:
             f = _functions(shipped)
             return pd.Series([None if a is None or b is None else call(f, a, b) for a, b in zip(left, right, strict=True)], dtype=object)
 
-        if kind.startswith("struct"):
-            from pyspark.sql.types import _parse_datatype_string
+        return F.pandas_udf(one if n == 1 else two, kind)
 
-            names = _parse_datatype_string(kind).names
+    def _whole(self, kind: str, call: Callable):
+        """An Arrow UDF that maps call(batch functions, strings) over a string column, some text at a time."""
+        shipped = self.shipped
 
-            def rows(values: pd.Series) -> pd.DataFrame:
-                f = _functions(shipped)
-                found = [{} if v is None else call(f, v) for v in values]
-                return pd.DataFrame({n: pd.Series([r.get(n) for r in found], dtype=object) for n in names})
+        def run(strings: pa.Array) -> pa.Array:
+            f = _batch_functions(shipped)
+            parts = [call(f, piece) for piece in pieces(strings)]
+            return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
-            return F.pandas_udf(rows, kind)
-        return F.pandas_udf(one if n == 1 else two, kind)
+        return F.arrow_udf(run, kind)
 
     # Normalization
 
     def nfd(self, c) -> Column:
-        return self._kernel("string", lambda f, s: f.nfd(s))(c)
+        return self._whole("string", lambda f, s: f.nfd(s))(c)
 
     def nfc(self, c) -> Column:
-        return self._kernel("string", lambda f, s: f.nfc(s))(c)
+        return self._whole("string", lambda f, s: f.nfc(s))(c)
 
     def nfkd(self, c) -> Column:
-        return self._kernel("string", lambda f, s: f.nfkd(s))(c)
+        return self._whole("string", lambda f, s: f.nfkd(s))(c)
 
     def nfkc(self, c) -> Column:
-        return self._kernel("string", lambda f, s: f.nfkc(s))(c)
+        return self._whole("string", lambda f, s: f.nfkc(s))(c)
 
     clean = nfkc
 
     # Confusables
 
     def skeleton(self, c) -> Column:
-        return self._kernel("string", lambda f, s: f.skeleton(s))(c)
+        return self._whole("string", lambda f, s: f.skeleton(s))(c)
 
     def lookalike_key(self, c) -> Column:
-        return self._kernel("string", lambda f, s: f.lookalike_key(s))(c)
+        return self._whole("string", lambda f, s: f.lookalike_key(s))(c)
 
     def are_confusable(self, a, b) -> Column:
         return self.skeleton(a) == self.skeleton(b)
@@ -145,10 +161,14 @@ class Unicode:
 
     def resolved_scripts(self, c) -> Column:
         """Codes of the resolved script set, in script order; all codes for an empty string."""
-        return self._kernel("array<string>", lambda f, s: f.tables.set_codes(f.resolved(s)))(c)
+        return self._whole("array<string>", lambda f, s: f.resolved_scripts(s))(c)
 
     def single_script(self, c) -> Column:
-        return self._kernel("boolean", lambda f, s: f.single_script(s))(c)
+        return self._whole("boolean", lambda f, s: f.single_script(s))(c)
+
+    def script_counts(self, c) -> Column:
+        """The scripts of a string, and how many characters of each."""
+        return self._whole("array<struct<script:string,n:bigint>>", lambda f, s: f.script_counts(s))(c)
 
     def parse_script(self, c) -> Column:
         """The code of a script given by code or long name; null where there is none."""
@@ -184,28 +204,32 @@ class Unicode:
 
     def restriction_level(self, c, profile=None) -> Column:
         """Levels 1 to 6; profile is a set of admitted code points, else the General Security Profile."""
-        admits = frozenset(profile).__contains__ if profile is not None else None
-        return self._kernel("int", lambda f, s: f.level(s, admits))(c)
+        admits = known_profile(profile)
+        return self._whole("int", lambda f, s: f.restriction_level(s, admits))(c)
 
     def number_systems(self, c) -> Column:
-        return self._kernel("array<int>", lambda f, s: f.number_systems(s))(c)
+        return self._whole("array<int>", lambda f, s: f.number_systems(s))(c)
 
     def mixed_numbers(self, c) -> Column:
-        return F.size(self.number_systems(c)) > 1
+        return self._whole("boolean", lambda f, s: f.mixed_numbers(s))(c)
 
     def check(self, c, permitted: int | str, profile=None) -> Column:
-        level, admits = permitted_level(permitted), frozenset(profile).__contains__ if profile is not None else None
-        return F.when((F.col(c) if isinstance(c, str) else c).isNotNull(), self._kernel(CHECK, lambda f, s: f.check(s, level, admits))(c))
+        level, admits = permitted_level(permitted), known_profile(profile)
+        return self._whole(CHECK, lambda f, s: f.check(s, level, admits))(c)
 
     # Names
 
     def inspect(self, c, policy: str = "OneScript") -> Column:
         known_policy(policy)
-        return F.when((F.col(c) if isinstance(c, str) else c).isNotNull(), self._kernel(INSPECTION, lambda f, s: f.inspect(s, policy))(c))
+        return self._whole(INSPECTION, lambda f, s: f.inspect(s, policy))(c)
 
     def acceptable(self, c, policy: str = "OneScript") -> Column:
         known_policy(policy)
-        return self._kernel("boolean", lambda f, s: f.inspect(s, policy)["acceptable"])(c)
+        return self._whole("boolean", lambda f, s: f.acceptable(s, policy))(c)
+
+    def acceptable_by_policy(self, c) -> Column:
+        """A struct of a boolean for each policy; the string is folded and checked once."""
+        return self._whole("struct<" + ",".join(f"{p}:boolean" for p in POLICIES) + ">", lambda f, s: f.acceptable_by_policy(s))(c)
 
     # Code points; bad ones raise when a constant, and in the worker when a value
 
@@ -253,7 +277,7 @@ def _json(value) -> str:
     return json.dumps(value)
 
 
-#: SQL name -> result type and call over one string.
+#: SQL name -> result type and call over an array of strings.
 SQL = {
     "nfd": ("string", lambda f, s: f.nfd(s)),
     "nfc": ("string", lambda f, s: f.nfc(s)),
@@ -261,16 +285,16 @@ SQL = {
     "nfkc": ("string", lambda f, s: f.nfkc(s)),
     "skeleton": ("string", lambda f, s: f.skeleton(s)),
     "lookalike_key": ("string", lambda f, s: f.lookalike_key(s)),
-    "resolved_scripts": ("array<string>", lambda f, s: f.tables.set_codes(f.resolved(s))),
+    "resolved_scripts": ("array<string>", lambda f, s: f.resolved_scripts(s)),
     "single_script": ("boolean", lambda f, s: f.single_script(s)),
-    "all_allowed": ("boolean", lambda f, s: f.all_allowed(s)),
-    "restriction_level": ("int", lambda f, s: f.level(s)),
+    "restriction_level": ("int", lambda f, s: f.restriction_level(s)),
     "number_systems": ("array<int>", lambda f, s: f.number_systems(s)),
     "mixed_numbers": ("boolean", lambda f, s: f.mixed_numbers(s)),
     "clean_name": ("string", lambda f, s: f.nfkc(s)),
 }
-#: The same over a code point, and over two strings.
+#: SQL name -> result type and call over one string or code point, and over two strings.
 SQL_POINT = {
+    "all_allowed": ("boolean", lambda f, s: f.all_allowed(s)),
     "script_of": ("string", lambda f, cp: f.tables.script[valid_code_point(int(cp))]),
     "identifier_type": ("int", lambda f, cp: f.tables.types[valid_code_point(int(cp))]),
     "identifier_allowed": ("boolean", lambda f, cp: f.tables.allowed(valid_code_point(int(cp)))),
@@ -290,7 +314,9 @@ SQL_PAIR = {
 def register(spark: SparkSession, unicode: Unicode | None = None) -> Unicode:
     """Registers every function for SQL, and the table function name_findings(name, policy) for LATERAL."""
     u = unicode or Unicode(spark)
-    for name, (kind, call) in {**SQL, **SQL_POINT}.items():
+    for name, (kind, call) in SQL.items():
+        spark.udf.register(name, u._whole(kind, call))
+    for name, (kind, call) in SQL_POINT.items():
         spark.udf.register(name, u._kernel(kind, call))
     for name, (kind, call) in SQL_PAIR.items():
         spark.udf.register(name, u._kernel(kind, call, 2))

@@ -1,8 +1,8 @@
 """Plans over code points: explode, broadcast join with the dimension tables, aggregate.
 
-These answer questions about whole columns (histograms) and are a second, independent way to the per-string
-results of the kernels. Rows are counted before they are exploded: characters of a string are first reduced
-to distinct ones with counts, so a long text gives few rows.
+These answer questions about whole columns and are a second, independent way to the per-string results of the
+kernels. Where order doesn't count, characters of a string are reduced to distinct ones before they are exploded;
+histograms count within each string first, so a long text gives few rows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import tables_of
+from ..functions.kernels import Unicode, tables_of
 from ..functions.script_sets import WORDS, ScriptSets
 from ..plans.dims import dim_confusable, dim_cp, dim_decomp, dim_set
 from ..unicode_tables import UnicodeTables
@@ -33,12 +33,10 @@ def text_of(cp: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
 
 
-def script_histogram(df: DataFrame, text_col: str, tables: UnicodeTables | None = None) -> DataFrame:
-    """script, characters: how many characters of each script the column holds."""
-    spark = df.sparkSession
-    chars = df.select(F.explode(F.filter(F.split(text_col, ""), lambda c: c != "")).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
-    named = chars.select(F.ascii("ch").alias("cp"), "n").join(F.broadcast(dim_cp(spark, tables).select("cp", "script")), "cp", "left")
-    return named.groupBy(F.coalesce("script", F.lit("Zzzz")).alias("script")).agg(F.sum("n").alias("characters"))
+def script_histogram(df: DataFrame, text_col: str, unicode: Unicode) -> DataFrame:
+    """script, characters: how many characters of each script the column holds; counted within each text first."""
+    counts = df.select(F.explode(unicode.script_counts(text_col)).alias("c"))
+    return counts.groupBy(F.col("c.script").alias("script")).agg(F.sum("c.n").alias("characters"))
 
 
 def properties(points: DataFrame, tables: UnicodeTables | None = None) -> DataFrame:

@@ -9,9 +9,8 @@ from ..functions.kernels import Unicode
 
 
 def keyed(df: DataFrame, name_col: str, unicode: Unicode) -> DataFrame:
-    """df with lookalike_key and unicode_version. Each distinct name is folded once, then joined back on the name."""
-    names = df.select(F.col(name_col).alias("_name")).where("_name IS NOT NULL").distinct().withColumn("lookalike_key", unicode.lookalike_key("_name"))
-    return df.join(names, df[name_col] == names["_name"], "left").drop("_name").withColumn("unicode_version", unicode.version())
+    """df with lookalike_key and unicode_version; a map, without a shuffle."""
+    return df.withColumn("lookalike_key", unicode.lookalike_key(name_col)).withColumn("unicode_version", unicode.version())
 
 
 def write_index(df: DataFrame, name_col: str, path: str, unicode: Unicode) -> None:
@@ -29,6 +28,13 @@ def free(new: DataFrame, index: DataFrame, name_col: str, unicode: Unicode) -> D
     return keyed(new, name_col, unicode).join(index.where(F.col("unicode_version") == unicode.tables.version).select("lookalike_key").distinct(), "lookalike_key", "left_anti")
 
 
+def states(new: DataFrame, index: DataFrame, name_col: str, unicode: Unicode) -> DataFrame:
+    """new with its lookalike_key and a state, taken or free; each side's keys are made once."""
+    known = index.where(F.col("unicode_version") == unicode.tables.version).select(F.col("lookalike_key").alias("_known")).distinct()
+    rows = keyed(new, name_col, unicode).drop("unicode_version")
+    return rows.join(known, F.col("lookalike_key") == F.col("_known"), "left").withColumn("state", F.when(F.col("_known").isNull(), "free").otherwise("taken")).drop("_known")
+
+
 def collisions(df: DataFrame, name_col: str, unicode: Unicode) -> DataFrame:
     """lookalike_key, names (how many different ones), first_name, last_name for keys that several names share."""
     names = df.select(F.col(name_col).alias("name")).where("name IS NOT NULL").distinct().withColumn("lookalike_key", unicode.lookalike_key("name"))

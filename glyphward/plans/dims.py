@@ -23,12 +23,23 @@ def dim_script(spark: SparkSession, tables: UnicodeTables | None = None) -> Data
     return spark.createDataFrame(rows, "ix int, code string, name string, recommended boolean")
 
 
-def dim_cp(spark: SparkSession, tables: UnicodeTables | None = None) -> DataFrame:
-    """cp, script, script_ix, set_id, id_type, allowed, ignorable, ccc, digit_zero.
+#: What dim_cp has made, by application and table set: it doesn't depend on data, so each application makes it once.
+_made: dict[str, dict[int, tuple[UnicodeTables, DataFrame]]] = {}
 
-    Runs of equal script and type are expanded in Spark; exceptions by code point are joined to them.
-    """
-    t = tables or tables_of(spark)
+
+def dim_cp(spark: SparkSession, tables: UnicodeTables | None = None) -> DataFrame:
+    """cp, script, script_ix, set_id, id_type, allowed, ignorable, ccc, digit_zero; cached."""
+    t, app = tables or tables_of(spark), spark.sparkContext.applicationId
+    if app not in _made:
+        _made.clear()
+    made = _made.setdefault(app, {})
+    if id(t) not in made:
+        made[id(t)] = t, _dim_cp(spark, t).cache()
+    return made[id(t)][1]
+
+
+def _dim_cp(spark: SparkSession, t: UnicodeTables) -> DataFrame:
+    """Runs of equal script and type are expanded in Spark; exceptions by code point are joined to them."""
     sets = {t.augmented(0x41): 0}
     starts = sorted({*t.script.starts, *t.types.starts, *(x for cp in t.extensions for x in (cp, cp + 1))})
     runs = []

@@ -194,7 +194,7 @@ def default_ignorables(spark, sf_dir):
 
 @query("SELECT CASE WHEN ch BETWEEN 'A' AND 'Z' OR ch BETWEEN 'a' AND 'z' OR (ch BETWEEN 'À' AND 'ÿ' AND ch NOT IN ('×', '÷')) THEN 'Latn' ELSE 'Zyyy' END AS script, count(*)::BIGINT AS characters FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1")
 def script_histogram(spark, sf_dir):
-    return codepoints.script_histogram(_table(spark, sf_dir, "documents"), "text", tables_of(spark))
+    return codepoints.script_histogram(_table(spark, sf_dir, "documents"), "text", unicode(spark))
 
 
 @query(_with_names("SELECT id, CASE kind WHEN 1 THEN '' WHEN 2 THEN '' WHEN 7 THEN 'Cyrl' ELSE 'Latn' END AS scripts, kind NOT IN (1, 2) AS single FROM n"))
@@ -288,7 +288,8 @@ def finding_messages_all(spark, sf_dir):
 @query(_with_names("SELECT id, kind = 0 AS ascii, kind IN (0, 6, 7) AS one_script, kind IN (0, 6, 7) AS relaxed, kind IN (0, 1, 6, 7) AS anything FROM n"))
 def acceptable_by_policy(spark, sf_dir):
     u = unicode(spark)
-    return names(spark, sf_dir).select("id", *(u.acceptable("name", p).alias(a) for p, a in (("Ascii", "ascii"), ("OneScript", "one_script"), ("Relaxed", "relaxed"), ("Anything", "anything"))))
+    found = names(spark, sf_dir).select("id", u.acceptable_by_policy("name").alias("by"))
+    return found.select("id", *(F.col(f"by.{p}").alias(a) for p, a in (("Ascii", "ascii"), ("OneScript", "one_script"), ("Relaxed", "relaxed"), ("Anything", "anything"))))
 
 
 @query(_with_names("SELECT id, 'taken' AS state FROM n WHERE kind IN (0, 1, 3) UNION ALL SELECT id, 'free' AS state FROM n WHERE kind NOT IN (0, 1, 3)"))

@@ -126,7 +126,9 @@ class UnicodeTables:
 
     def augmented(self, cp: int) -> int:
         """The augmented script set as a mask; all scripts for what is Common or Inherited."""
-        codes = self.extensions_of(cp)
+        return self.augmented_set(self.extensions_of(cp))
+
+    def augmented_set(self, codes: frozenset[str]) -> int:
         known = self._augmented.get(codes)
         if known is None:
             known = self.all_scripts if codes & {"Zyyy", "Zinh"} else self.mask([*codes, *(x for c in codes for x in AUGMENTS.get(c, ()))])
