@@ -49,6 +49,13 @@ class ScriptSets:
     def is_all(self, s: Column) -> Column:
         return s == self.all()
 
+    def equal(self, a: Column, b: Column) -> Column:
+        return a == b
+
+    def hash_of(self, s: Column) -> Column:
+        """A number that equal sets share."""
+        return F.xxhash64(*(s[w] for w in WORDS))
+
     def count(self, s: Column) -> Column:
         return sum((F.bit_count(s[w]) for w in WORDS[1:]), F.bit_count(s[WORDS[0]]))
 

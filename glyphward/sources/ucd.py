@@ -5,6 +5,8 @@ With the files of a newer Unicode version than Spark's ICU has, every function f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,21 +24,21 @@ def parse_hex_list(c: Column) -> Column:
     return F.transform(F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("int"))
 
 
-def read_fields(spark: SparkSession, path: str) -> DataFrame:
-    """The fields of a file's lines: comments cut off, split at semicolons, trimmed; empty lines left out."""
+def fields(lines: DataFrame) -> DataFrame:
+    """f, the fields of lines (column value): comments cut off, split at semicolons, trimmed; empty lines left out."""
     line = F.trim(F.regexp_replace(F.col("value"), "#.*$", ""))
-    return spark.read.text(path).select(line.alias("line")).where("line <> ''").select(F.transform(F.split("line", ";"), lambda x: F.trim(F.regexp_replace(x, "\t", " "))).alias("f"))
+    return lines.select(line.alias("line")).where("line <> ''").select(F.transform(F.split("line", ";"), lambda x: F.trim(F.regexp_replace(x, "\t", " "))).alias("f"))
 
 
-def read_ranges(spark: SparkSession, path: str) -> DataFrame:
+def ranges(lines: DataFrame) -> DataFrame:
     """first, last, f: lines that begin with a code point or a range of them, and the fields after it."""
     ends = F.split(F.col("f")[0], r"\.\.")
-    return read_fields(spark, path).select(parse_hex(ends[0]).alias("first"), parse_hex(F.coalesce(F.get(ends, F.lit(1)), ends[0])).alias("last"), F.slice("f", 2, 100).alias("f"))
+    return fields(lines).select(parse_hex(ends[0]).alias("first"), parse_hex(F.coalesce(F.get(ends, F.lit(1)), ends[0])).alias("last"), F.slice("f", 2, 100).alias("f"))
 
 
-def read_version(spark: SparkSession, path: str) -> str | None:
+def version_of(lines: DataFrame) -> str | None:
     """The version in a file's header, from its name (`# Scripts-17.0.0.txt`) or a version line."""
-    found = spark.read.text(path).limit(30).select(F.regexp_extract("value", r"^# *(?:\w+-|Version: *)(\d+\.\d+\.\d+)", 1).alias("v")).where("v <> ''").first()
+    found = lines.limit(30).select(F.regexp_extract("value", r"^# *(?:\w+-|Version: *)(\d+\.\d+\.\d+)", 1).alias("v")).where("v <> ''").first()
     return found["v"] if found else None
 
 
@@ -49,29 +51,45 @@ def run_length_encode(points: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, directory: str) -> UnicodeTables:
     """The tables of a directory; ValueError where files disagree in version or break what the tables promise."""
-    path = lambda name: f"{directory}/{name}.txt"
-    versions = {n: read_version(spark, path(n)) for n in FILES if n != "UnicodeData"}
+    return load_lines(lambda name: spark.read.text(f"{directory}/{name}.txt"))
+
+
+def load_lines(lines: Callable[[str], DataFrame]) -> UnicodeTables:
+    """The tables of files given by their lines: the name of a file, without its ending, to a DataFrame (value)."""
+    versions = {n: version_of(lines(n)) for n in FILES if n != "UnicodeData"}
     if len(set(filter(None, versions.values()))) != 1:
         raise ValueError(f"files of different versions: {versions}")
-    ranges = lambda name: [(r["first"], r["last"], list(r["f"])) for r in read_ranges(spark, path(name)).collect()]
-    aliases = {f[1]: f[2] for f in (list(r["f"]) for r in read_fields(spark, path("PropertyValueAliases")).collect()) if f[0] == "sc"}
+    rows = lambda name: [(r["first"], r["last"], list(r["f"])) for r in ranges(lines(name)).collect()]
+    aliases = {f[1]: f[2] for f in (list(r["f"]) for r in fields(lines("PropertyValueAliases")).collect()) if f[0] == "sc"}
     codes = {n: c for c, n in aliases.items()}
-    script = Runs([(a, b, codes[f[0]]) for a, b, f in ranges("Scripts")], "Zzzz")
+    script = Runs([(a, b, codes[f[0]]) for a, b, f in rows("Scripts")], "Zzzz")
     used = {v for _, _, v in script.ranges()}
-    extensions = {cp: frozenset(f[0].split()) for a, b, f in ranges("ScriptExtensions") for cp in range(a, b + 1)}
+    extensions = {cp: frozenset(f[0].split()) for a, b, f in rows("ScriptExtensions") for cp in range(a, b + 1)}
     by_name = {n.lower(): bit for n, bit in TYPE_BIT.items()}
-    types = Runs([(a, b, sum(by_name[t.lower()] for t in f[0].split())) for a, b, f in ranges("IdentifierType")], TYPE_BIT["Not_Character"])
-    ignorable = frozenset(cp for a, b, f in ranges("DerivedCoreProperties") if f[0] == "Default_Ignorable_Code_Point" for cp in range(a, b + 1))
-    excluded = {cp for a, b, f in ranges("DerivedNormalizationProps") if f[0] == "Full_Composition_Exclusion" for cp in range(a, b + 1)}
+    types = Runs([(a, b, sum(by_name[t.lower()] for t in f[0].split())) for a, b, f in rows("IdentifierType")], TYPE_BIT["Not_Character"])
+    having = lambda name, value: {cp for a, b, f in rows(name) if f[0] == value for cp in range(a, b + 1)}
+    ignorable = frozenset(having("DerivedCoreProperties", "Default_Ignorable_Code_Point"))
+    ccc, zeros, nfd, nfkd, pairs = characters(lines("UnicodeData"), having("DerivedNormalizationProps", "Full_Composition_Exclusion"))
+    tables = UnicodeTables(next(filter(None, versions.values())), {c: n for c, n in aliases.items() if c in used}, script, extensions, types, ignorable, nfd, nfkd, pairs, ccc, zeros, prototypes(lines("confusables")))
+    listed = having("IdentifierStatus", "Allowed")
+    typed = {cp for a, b, _ in types.ranges() if tables.allowed(a) for cp in range(a, b + 1)}
+    if listed != typed:
+        raise ValueError(f"identifier status and type disagree on U+{min(listed ^ typed):04X}")
+    return tables
+
+
+def characters(lines: DataFrame, excluded: set[int]):
+    """ccc, zeros, nfd, nfkd, pairs from UnicodeData's lines and the code points that no composition makes."""
     ccc, raw, folded, zeros = {}, {}, {}, {}
-    for r in spark.read.csv(path("UnicodeData"), sep=";", quote="").collect():
-        cp = int(r[0], 16)
-        if int(r[3]):
-            ccc[cp] = int(r[3])
-        if r[2] == "Nd":
-            zeros[cp] = cp - int(r[6])
-        if r[5]:
-            parts = r[5].split()
+    for r in lines.where("value <> ''").select(F.split("value", ";").alias("f")).collect():
+        f = r["f"]
+        cp = int(f[0], 16)
+        if int(f[3]):
+            ccc[cp] = int(f[3])
+        if f[2] == "Nd":
+            zeros[cp] = cp - int(f[6])
+        if f[5]:
+            parts = f[5].split()
             (folded if parts[0].startswith("<") else raw)[cp] = [int(x, 16) for x in parts if not x.startswith("<")]
 
     def full(cp: int, compatibility: bool) -> str:
@@ -86,13 +104,37 @@ def load(spark: SparkSession, directory: str) -> UnicodeTables:
             if tuple(parts) in pairs:
                 raise ValueError(f"two composites of one pair: U+{cp:04X}")
             pairs[tuple(parts)] = cp
-    confusables: dict[int, str] = {}
-    for r in read_fields(spark, path("confusables")).select(parse_hex(F.col("f")[0]).alias("cp"), parse_hex_list(F.col("f")[1]).alias("to")).where("cp IS NOT NULL").collect():
-        if r["cp"] in confusables:
+    return ccc, zeros, nfd, nfkd, pairs
+
+
+def prototypes(lines: DataFrame) -> dict[int, str]:
+    out: dict[int, str] = {}
+    for r in fields(lines).select(parse_hex(F.col("f")[0]).alias("cp"), parse_hex_list(F.col("f")[1]).alias("to")).where("cp IS NOT NULL").collect():
+        if r["cp"] in out:
             raise ValueError(f"two prototypes of U+{r['cp']:04X}")
-        confusables[r["cp"]] = "".join(map(chr, r["to"]))
-    tables = UnicodeTables(next(filter(None, versions.values())), {c: n for c, n in aliases.items() if c in used}, script, extensions, types, ignorable, nfd, nfkd, pairs, ccc, zeros, confusables)
-    listed = {cp for a, b, f in ranges("IdentifierStatus") if f[0] == "Allowed" for cp in range(a, b + 1)}
-    if any(tables.allowed(cp) != (cp in listed) for a, b, _ in types.ranges() for cp in {a, b}) or any(not tables.allowed(cp) for cp in listed):
-        raise ValueError("identifier status and type disagree")
-    return tables
+        out[r["cp"]] = "".join(map(chr, r["to"]))
+    return out
+
+
+def lines_of(t: UnicodeTables) -> dict[str, list[str]]:
+    """The data files that hold a table set, line by line; load_lines() gives the same tables."""
+    span = lambda a, b: f"{a:04X}" if a == b else f"{a:04X}..{b:04X}"
+    spell = lambda s: " ".join(f"{ord(c):04X}" for c in s)
+    composed = {cp: chr(a) + chr(b) for (a, b), cp in t.pairs.items()}
+    characters = []
+    for cp in sorted({*t.ccc, *t.zeros, *t.nfd, *t.nfkd}):
+        digit = str(cp - t.zeros[cp]) if cp in t.zeros else ""
+        mapping = spell(composed.get(cp, t.nfd[cp])) if cp in t.nfd else f"<compat> {spell(t.nfkd[cp])}" if cp in t.nfkd else ""
+        characters.append(f"{cp:04X};NAME;{'Nd' if digit else 'So'};{t.ccc.get(cp, 0)};L;{mapping};{digit};{digit};{digit};N;;;;;")
+    admitted = [(a, b) for a, b, _ in t.types.ranges() if t.allowed(a)]
+    found = {
+        "Scripts": [f"{span(a, b)} ; {t.script_names[c]}" for a, b, c in t.script.ranges() if c != "Zzzz"],
+        "ScriptExtensions": [f"{cp:04X} ; {' '.join(sorted(codes))}" for cp, codes in sorted(t.extensions.items())],
+        "PropertyValueAliases": [f"sc ; {c} ; {n}" for c, n in t.script_names.items()],
+        "IdentifierType": [f"{span(a, b)} ; {' '.join(t.type_names(mask))}" for a, b, mask in t.types.ranges() if mask != TYPE_BIT["Not_Character"]],
+        "IdentifierStatus": [f"{span(a, b)} ; Allowed" for a, b in admitted],
+        "DerivedCoreProperties": [f"{cp:04X} ; Default_Ignorable_Code_Point" for cp in sorted(t.ignorable)],
+        "DerivedNormalizationProps": [f"{cp:04X} ; Full_Composition_Exclusion" for cp in sorted(set(t.nfd) - set(composed))],
+        "confusables": [f"{cp:04X} ;\t{spell(to)} ;\tMA" for cp, to in sorted(t.confusables.items())],
+    }
+    return {"UnicodeData": characters} | {n: [f"# {n}-{t.version}.txt", *x] for n, x in found.items()}

@@ -24,8 +24,21 @@ def first_of_lookalikes(stream: DataFrame, name_col: str, time_col: str, delay:
     return stream.withColumn("lookalike_key", unicode.lookalike_key(name_col)).withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["lookalike_key"])
 
 
-def unacceptable_by_window(stream: DataFrame, name_col: str, time_col: str, width: str, delay: str, unicode: Unicode, policy: str = "OneScript") -> DataFrame:
-    """window start and end, names, unacceptable: counts in tumbling event-time windows, late rows up to the delay."""
-    marked = stream.withColumn("ok", unicode.acceptable(name_col, policy)).withWatermark(time_col, delay)
-    counts = marked.groupBy(F.window(time_col, width)).agg(F.count(F.lit(1)).alias("names"), F.count_if(~F.col("ok")).alias("unacceptable"))
+def _marked(stream: DataFrame, name_col: str, time_col: str, delay: str, unicode: Unicode, policy: str) -> DataFrame:
+    return stream.withColumn("ok", unicode.acceptable(name_col, policy)).withWatermark(time_col, delay)
+
+
+def _counts(marked: DataFrame, *groups) -> DataFrame:
+    return marked.groupBy(*groups).agg(F.count(F.lit(1)).alias("names"), F.count_if(~F.col("ok")).alias("unacceptable"))
+
+
+def unacceptable_by_window(stream: DataFrame, name_col: str, time_col: str, width: str, delay: str, unicode: Unicode, policy: str = "OneScript", slide: str | None = None) -> DataFrame:
+    """window start and end, names, unacceptable: counts in event-time windows, tumbling or sliding, late rows up to the delay."""
+    counts = _counts(_marked(stream, name_col, time_col, delay, unicode, policy), F.window(time_col, width, slide))
     return counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "names", "unacceptable")
+
+
+def unacceptable_by_session(stream: DataFrame, key_col: str, name_col: str, time_col: str, gap: str, delay: str, unicode: Unicode, policy: str = "OneScript") -> DataFrame:
+    """key, session start and end, names, unacceptable: counts in sessions of a key that end where it is silent for the gap."""
+    counts = _counts(_marked(stream, name_col, time_col, delay, unicode, policy), F.session_window(time_col, gap), key_col)
+    return counts.select(key_col, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "names", "unacceptable")

@@ -43,11 +43,30 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 25
 
 
-def test_registry_without_llm(tmp_path):
-    """A copy of the repository without the subpackage and its tests still imports and registers the rest."""
+@pytest.fixture(scope="module")
+def without_llm(tmp_path_factory):
+    """A copy of the repository as the driver makes it: without the subpackage, its tests and the pipeline."""
     import shutil
 
-    copy = tmp_path / "copy"
+    copy = tmp_path_factory.mktemp("without") / "copy"
     shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__"))
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), 'skeleton_names' in q, any(k.startswith('op') for k in q), set(e.oracle_sql()) <= set(q))"], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(copy)})
+    return copy
+
+
+def run_in(copy, *args):
+    return subprocess.run([sys.executable, *args], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(copy)})
+
+
+def test_registry_without_llm(without_llm):
+    said = run_in(without_llm, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), 'skeleton_names' in q, any(k.startswith('op') for k in q), set(e.oracle_sql()) <= set(q))")
     assert said.stdout.split()[1:] == ["True", "False", "True"], said.stderr
+
+
+def test_tests_without_llm(without_llm):
+    said = run_in(without_llm, "-m", "pytest", "-x", "-q", "tests/test_text.py", "tests/test_batches.py", "-k", "not every_code_point")
+    assert said.returncode == 0 and " passed" in said.stdout, said.stdout[-800:]
+
+
+def test_a_missing_dependency_is_not_a_missing_subpackage():
+    said = subprocess.run([sys.executable, "-c", "import sys, builtins; real = builtins.__import__\ndef no(name, *a, **k):\n    if name.split('.')[0] == 'numpy': raise ModuleNotFoundError('x', name='numpy')\n    return real(name, *a, **k)\nbuiltins.__import__ = no\nimport __spark_entry__"], cwd=REPO, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": REPO})
+    assert said.returncode and "numpy" in said.stderr

@@ -19,16 +19,22 @@ def named(spark):
 
 def test_names_of_every_kind(spark, named):
     f = own.unicode(spark).functions
-    for name in ("skeleton_names_all", "skeleton_names_relational_all"):
+    for name in ("skeleton_names", "skeleton_names_relational"):
         got = sorted(tuple(r) for r in own.QUERIES[name](spark, SF_DIR).collect())
         assert got == sorted((r["id"], f.skeleton(r["name"])) for r in named), name
-    got = dict(tuple(r) for r in own.QUERIES["custom_profile_levels_all"](spark, SF_DIR).collect())
+    got = dict(tuple(r) for r in own.QUERIES["custom_profile_levels"](spark, SF_DIR).collect())
     assert {i: level == 1 for i, level in got.items()} == {r["id"]: r["name"].isascii() and r["name"].replace("#", "").isalnum() for r in named}
 
 
 def test_messages_of_every_kind(spark, named):
     f = own.unicode(spark).functions
-    got = sorted(tuple(r) for r in own.QUERIES["finding_messages_all"](spark, SF_DIR).collect())
-    assert got == sorted((r["id"], x["message"]) for r in named for x in f.inspect(r["name"], "Anything")["findings"])
+    for name, policy in (("finding_messages", "Anything"), ("not_ascii_messages", "Ascii")):
+        got = sorted((r["id"], r["message"]) for r in own.QUERIES[name](spark, SF_DIR).collect())
+        assert got == sorted((r["id"], x["message"]) for r in named for x in f.inspect(r["name"], policy)["findings"])
     bad = {r["id"] for r in own.QUERIES["acceptable_by_policy"](spark, SF_DIR).collect() if not r["anything"]}
-    assert {i for i, _ in got} == bad
+    assert {r["id"] for r in own.QUERIES["finding_messages"](spark, SF_DIR).collect()} == bad
+
+
+def test_names_in_many_scripts_have_all_levels(spark):
+    rows = own.names_in_many_scripts(spark, SF_DIR).collect()
+    assert {r["level"] for r in rows} >= {1, 2, 3, 5} and len({r["scripts"] for r in rows}) > 8
