@@ -9,15 +9,25 @@ from pyspark.sql import functions as F
 
 #: A word: what stands between space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that a kernel takes from an Arrow batch at a time; texts may be long. Spark bounds the batch itself in rows and bytes.
+#: Rows in an Arrow batch; texts may be long, so batches stay far below Spark's 10,000.
 BATCH_ROWS = 128
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows in a session of their own, whose Arrow batches hold few rows; the caller's session keeps its settings."""
+    spark = df.sparkSession
+    inner = spark._jsparkSession.cloneSession()
+    own = SparkSession(spark.sparkContext, inner)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(inner, df._jdf.logicalPlan()), own)
+
+
 def few_rows(batches, rows: int = BATCH_ROWS):
-    """The batches, cut into pieces of few rows; no setting of the caller's session is touched."""
+    """The batches, cut into pieces of few rows, and memory given back in the end."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,14 +108,15 @@ def pass_batches(rows, schema):
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
 
-def give_back() -> None:
+def give_back(collect: bool = True) -> None:
     """Returns memory that a Python worker no longer uses to the system; workers outlive their tasks."""
     import ctypes
     import gc
 
     import pyarrow as pa
 
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SeenTwice, crc_fold, few_rows, give_back, training_texts
+from .common import SeenTwice, crc_fold, few_rows, give_back, small_batches, training_texts
 
 ORDER = 5
 #: Labelled documents of each language that training may read, and characters of all their texts.
@@ -349,6 +349,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         del entropies
         give_back()
 
+    docs = small_batches(docs)
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), (crc_fold(docs[id_col].cast("long")) == HELD_OUT).alias("held_out"), docs[text_col].cast("string").alias("text"))
     return base.mapInArrow(run, SCHEMA)
 
@@ -372,4 +373,4 @@ def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text", lang_co
         del entropies
         give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_rows
+from .common import few_rows, small_batches
 
 WIDTH = 192
 TAIL = 16
@@ -151,6 +151,7 @@ def media_store(payloads: DataFrame, payload_col: str = "payload", keep_bytes: b
                     seen.setdefault(row[0], (*row, store(p)) if keep_bytes else row)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in seen.values()], f.type) for k, f in enumerate(out)], schema=out)
 
+    payloads = small_batches(payloads)
     rows = payloads.select(payloads[payload_col].cast("binary")).mapInArrow(run, MEDIA + ", stored binary" * keep_bytes)
     return rows.groupBy("digest").agg(*(F.first(c).alias(c) for c in rows.columns if c != "digest"))
 
@@ -163,6 +164,7 @@ def sequences(pages: DataFrame, id_col: str, page_col: str) -> DataFrame:
         for batch in few_rows(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse(p) for p in batch.column(1).to_pylist()], _SEGMENT)], names=["id", "segments"])
 
+    pages = small_batches(pages)
     return pages.select(pages[id_col].alias("id"), pages[page_col].cast("string").alias("page")).mapInArrow(run, f"id {kind}, segments {SEGMENTS}")
 
 
@@ -196,6 +198,7 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     store of all payloads. Copies share one stored payload; repeated rows and null ids stay; an empty table
     gives an empty result; other columns are not read.
     """
+    docs = small_batches(docs)
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
     def pages(batches):

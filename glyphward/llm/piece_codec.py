@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import few_rows
+from .common import few_rows, small_batches
 
 MARK = "▁"
-MEMO = 500_000
+MEMO = 300_000
 LONGEST_MEMO = 64
 #: Characters whose matches are held at a time.
 BLOCK = 1 << 14
@@ -281,6 +281,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             ids = [np.fromstring(i, np.int32, sep=",") if i else np.zeros(0, np.int32) for i, _ in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([d for _, d in rows], pa.string())], names=["doc_id", "ids", "decoded"])
 
+    docs = small_batches(docs)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
@@ -293,4 +294,5 @@ def digest_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             rows = [c.digest(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], _OUT[k + 1].type) for k in range(3))], schema=_OUT)
 
+    docs = small_batches(docs)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, durable, few_rows
+from .common import column, durable, few_rows, small_batches
 from .components import connected_components
 from .golay import nearby
 
@@ -97,7 +97,7 @@ def printed(rows: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(fp, pa.int64())], names=[*names, "fp"])
 
-    return rows.mapInArrow(run, T.StructType([*(rows.schema[n] for n in names), T.StructField("fp", T.LongType())]))
+    return small_batches(rows).mapInArrow(run, T.StructType([*(rows.schema[n] for n in names), T.StructField("fp", T.LongType())]))
 
 
 def _finer(key: Column, fp: Column) -> Column:
@@ -198,6 +198,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     fingerprint; of these the one with the least text. Rows of one id whose texts aren't alike are in groups of
     their own, and one of each stays.
     """
+    docs = small_batches(docs)
     found = durable(_labelled(docs, id_col, text_col).select("doc_id", "fp", "root"))
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("b"))
     stay = durable(best.select("b.doc_id", "b.fp"))

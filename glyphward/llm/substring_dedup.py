@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, column, durable, durable_by, few_rows, give_back, shuffles
+from .common import WORD, column, durable, durable_by, few_rows, give_back, shuffles, small_batches
 from .recompression import anchors, mix, window_hashes, words_of
 
 WINDOW = 20
@@ -325,7 +325,7 @@ def duplicate_runs(chunks: DataFrame, window: int, total: int, numbers: int, fan
 
     def send(t: pa.Table) -> pa.Table:
         sent = [(r, number(t), b) for r, b in key_blocks(load(t), groups)]
-        give_back()
+        give_back(False)
         return _rows(_columns(sent, 3), kinds)
 
     def reveal(t: pa.Table) -> pa.Table:
@@ -338,7 +338,7 @@ def duplicate_runs(chunks: DataFrame, window: int, total: int, numbers: int, fan
             return _rows([[]] * 3, kinds)
         told = list(zip(masks.column("to").to_pylist(), masks.column("block").to_pylist(), strict=True))
         sent = [(to, number(t), b) for to, b in window_blocks(load(t), number(t), told, groups)]
-        give_back()
+        give_back(False)
         return _rows(_columns(sent, 3), kinds)
 
     def merge(last: bool):
@@ -347,6 +347,7 @@ def duplicate_runs(chunks: DataFrame, window: int, total: int, numbers: int, fan
             rows = [(-1, chunk, b) for chunk, b in by_chunk(found)]
             if rest is not None:
                 rows.append((t.column("to")[0].as_py(), t.column("chunk")[0].as_py() // fan, rest))
+            give_back(False)
             return _rows(_columns(rows, 3), kinds)
 
         return run
@@ -398,6 +399,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     Results don't depend on chunk_bytes, fan and word_bits, the bits of a word's hash that the first attempts keep
     (the last one goes for all further attempts).
     """
+    docs = small_batches(docs)
     others = [f.name for f in docs.schema if (f.name == id_col if digest else f.name not in (text_col, "n_words", "n_removed"))]
     text = docs[text_col].cast("string")
     id_ = F.coalesce(docs[id_col].cast("long"), F.lit(_LAST_ID))
@@ -438,6 +440,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
             count.append(n)
             gone.append(n - len(words))
             kept.append(hashlib.sha256(b" ".join(words)).hexdigest() if digest else raw if n == len(words) else b" ".join(words).decode())
+        give_back(False)
         columns = {"row": t.column("row"), "n_words": pa.array(count, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.string())}
         return pa.table(columns)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import few_rows
+from .common import few_rows, small_batches
 
 #: The pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -194,4 +194,5 @@ def count_tokens(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
             size = [len(t) if t.isascii() else len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())], schema=_OUT)
 
+    docs = small_batches(docs)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)

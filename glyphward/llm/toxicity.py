@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, few_rows, training_texts
+from .common import crc_fold, few_rows, small_batches, training_texts
 
 #: Labelled rows of each class that training may read, and characters of their texts.
 SAMPLE = 2500
@@ -212,5 +212,6 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             s = [m.score(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
+    docs = small_batches(docs)
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), (crc_fold(docs[id_col].cast("long")) == HELD_OUT).alias("held_out"), docs[text_col].cast("string").alias("text"))
     return base.mapInArrow(run, SCHEMA)

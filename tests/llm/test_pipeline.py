@@ -98,3 +98,21 @@ def test_encoding_stage_and_run(spark, stages):
     texts = Counter((r["doc_id"], tuple(library.encode(r["text"]))) for r in frames[4].collect())
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in frames[5].collect()) == texts
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, root).collect()) == texts
+
+
+def test_empty_and_unlabelled_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert got.columns == ["doc_id", "ids", "decoded"] and got.collect() == []
+    rows = [(i, f"some words of text number {i} and no more", None, None, 0) for i in range(20)] + [(30, None, None, "a", 0), (None, "12 !", None, "b", 4)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "bare" / "documents.parquet"))
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "bare")).collect()} <= set(range(20))
+
+
+def test_the_session_keeps_its_settings(spark, stages):
+    root, _ = stages
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    corpus_pipeline.run(spark, root).count()
+    assert [spark.conf.get(n) for n in names] == before
