@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 from array import array
 from functools import lru_cache
@@ -101,7 +102,7 @@ class Codec:
         low = block * BLOCK
         high = min(len(text), low + BLOCK)
         lengths: list[list[int]] = [[1] for _ in range(high - low)]
-        for end, size in self.automaton.iter(text, low, min(len(text), high + self.longest)):
+        for end, size in self.automaton.iter(text) if high == len(text) and not low else self.automaton.iter(text, low, min(len(text), high + self.longest)):
             at = end - size + 1
             if size > 1 and at < high:
                 lengths[at - low].append(size)
@@ -109,14 +110,37 @@ class Codec:
 
     def backtrack(self, text: str) -> list[str]:
         """The pieces of a segment with at most one space mark in front."""
-        out, at = [], 0
-        for size in self._sizes(text):
-            out.append(text[at : at + size])
-            at += size
-        return out
+        if len(text) > BLOCK:
+            out, at = [], 0
+            for size in self._sizes(text):
+                out.append(text[at : at + size])
+                at += size
+            return out
+        # As _sizes() does, with all matches at hand.
+        n, lengths = len(text), self._options(text, 0)
+        dead = bytearray(n + 1)
+        taken: list[str] = []
+        choice: list[int] = []  # index of the option taken, one for each piece
+        at, option = 0, len(lengths[0]) - 1 if n else -1
+        while at < n:
+            while option >= 0:
+                end = at + lengths[at][option]
+                if not dead[end] and (not taken or self.compatible(taken[-1], text[at:end])):
+                    break
+                option -= 1
+            if option >= 0:
+                taken.append(text[at:end])
+                choice.append(option)
+                at = end
+                option = len(lengths[at]) - 1 if at < n else -1
+                continue
+            dead[at] = 1
+            at -= len(taken.pop())
+            option = choice.pop() - 1
+        return taken
 
     def _sizes(self, text: str) -> array:
-        """The lengths of the pieces of a segment with at most one space mark in front."""
+        """The lengths of the pieces of a long segment, whose matches are found block by block."""
         n = len(text)
         blocks: dict[int, list[list[int]]] = {}
 
@@ -130,7 +154,7 @@ class Codec:
 
         dead = bytearray(n + 1)
         taken = array("H")
-        choice = array("B")  # index of the option taken, one for each piece
+        choice = array("B")
         at, option = 0, len(lengths(0)) - 1 if n else -1
         while at < n:
             here = lengths(at)
@@ -151,15 +175,16 @@ class Codec:
         return taken
 
     def _parts(self, segment: str):
-        """The pieces of a segment, one after the other."""
-        at = 0
-        if segment.startswith(MARK * 2):
-            at = self._apart(segment)
-            yield from self.merge(segment[:at])
-        rest = segment[at:] if at else segment
+        """The pieces of a segment."""
+        if not segment.startswith(MARK * 2):
+            return self.backtrack(segment) if len(segment) <= BLOCK else self._long_parts(segment)
+        at = self._apart(segment)
+        return itertools.chain(self.merge(segment[:at]), self._long_parts(segment[at:]))
+
+    def _long_parts(self, text: str):
         at = 0
-        for size in self._sizes(rest):
-            yield rest[at : at + size]
+        for size in self._sizes(text):
+            yield text[at : at + size]
             at += size
 
     def _apart(self, segment: str) -> int:
@@ -181,8 +206,8 @@ class Codec:
                             reach = first - k + size
         return len(segment)
 
-    def segment_ids(self, segment: str) -> array:
-        out, ids = array("i"), self.ids
+    def segment_ids(self, segment: str) -> array | list[int]:
+        out, ids = [] if len(segment) <= BLOCK else array("i"), self.ids
         for p in self._parts(segment):
             if (i := ids.get(p)) is not None:
                 out.append(i)
@@ -250,7 +275,7 @@ class _Segments(dict):
     def __missing__(self, part: str) -> str:
         if (known := self.older.get(part)) is None:
             got = self.codec.segment_ids(part if part.startswith(MARK * 2) else MARK + part)
-            known = ",".join(",".join(map(str, got[i : i + BLOCK])) for i in range(0, len(got), BLOCK))
+            known = ",".join(map(str, got)) if len(got) <= BLOCK else ",".join(",".join(map(str, got[i : i + BLOCK])) for i in range(0, len(got), BLOCK))
             if (spelled := self.codec.spelled(got)) != _spaced(part):
                 self.odd[part] = spelled
         if len(part) <= LONGEST_MEMO:
