@@ -6,6 +6,9 @@ left to text.py, for the strings that need it only. A null string gives null.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,7 +18,6 @@ from .text import TextFunctions
 
 #: Bytes of text that are worked on at a time; a longer string makes a piece of its own.
 PIECE = 1 << 20
-_WORD = (1 << 64) - 1
 FINDING = pa.struct([("kind", pa.string()), ("position", pa.int32()), ("length", pa.int32()), ("text", pa.string()), ("message", pa.string())])
 
 
@@ -125,13 +127,9 @@ class BatchFunctions:
             self.set[a : b + 1] = sets.setdefault(t.augmented_set(frozenset((code,))), len(sets))
         for cp in t.extensions:
             self.set[cp] = sets.setdefault(t.augmented(cp), len(sets))
-        words = lambda mask: [mask >> 64 * k & _WORD for k in range(4)]
-        latin = 1 << t.script_ix["Latn"]
-        self.words = np.array([words(m) for m in sets], np.uint64)
-        #: The sets, with all scripts for those that have Latin.
-        self.rest = np.array([words((1 << 256) - 1 if m & latin else m) for m in sets], np.uint64)
-        self.asian, self.partners = (np.array(words(m), np.uint64) for m in (t.mask(("Jpan", "Kore", "Hanb")), t.partners))
-        self.every = np.array(words(t.all_scripts), np.uint64)
+        #: The distinct augmented script sets as masks, by number.
+        self.masks = list(sets)
+        self.asian = t.mask(("Jpan", "Kore", "Hanb"))
         unstable = np.zeros(n, bool)
         unstable[list(functions.unstable)] = True
         self.unstable = {False: unstable, True: unstable | (self.nfkd_map.moves & ~self.nfd_map.moves)}
@@ -190,33 +188,43 @@ class BatchFunctions:
 
     # Scripts
 
-    def _common(self, texts: Texts, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """What the sets of all code points of these strings (none of them empty) have in common."""
-        size = np.diff(texts.offsets)
-        codes = texts.codes if len(rows) == len(texts) else texts.codes[np.repeat(np.isin(np.arange(len(texts)), rows, assume_unique=True), size)]
-        size = size[rows]
-        return np.bitwise_and.reduceat(words[self.set[codes]], np.cumsum(size) - size, axis=0) if len(rows) else np.zeros((0, 4), np.uint64)
-
-    def _resolved(self, texts: Texts) -> np.ndarray:
-        out = np.tile(self.every, (len(texts), 1))
+    def _present(self, texts: Texts) -> tuple[list[tuple[int, ...]], np.ndarray]:
+        """The distinct groups of script sets that strings have, and each string's; an empty string has none."""
+        ids = self.set[texts.codes]
+        used = np.flatnonzero(np.bincount(ids, minlength=len(self.masks)))
         rows = np.flatnonzero(np.diff(texts.offsets))
-        out[rows] = self._common(texts, self.words, rows)
-        return out
+        held = np.zeros((len(texts), -(-len(used) // 64) or 1), np.uint64)
+        for word in range(held.shape[1] if len(rows) else 0):
+            some = used[64 * word : 64 * word + 64]
+            bit = np.zeros(len(self.masks), np.uint64)
+            bit[some] = np.uint64(1) << np.arange(len(some), dtype=np.uint64)
+            held[rows, word] = np.bitwise_or.reduceat(bit[ids], texts.offsets[rows])
+        groups, of = np.unique(held[:, 0], return_inverse=True) if held.shape[1] == 1 else np.unique(held, axis=0, return_inverse=True)
+        groups = groups.reshape(len(groups), held.shape[1])
+        at = lambda group: tuple(self.masks[used[64 * w + j]] for w, bits in enumerate(group.tolist()) for j in range(64) if bits >> j & 1)
+        return [at(g) for g in groups], of.ravel()
+
+    def _resolved(self, texts: Texts) -> tuple[list[int], np.ndarray]:
+        """The distinct resolved script sets as masks, and each string's."""
+        groups, of = self._present(texts)
+        return [reduce(and_, g, self.tables.all_scripts) for g in groups], of
 
     def resolved_scripts(self, strings: pa.StringArray) -> pa.ListArray:
-        texts, known = Texts.of(strings), {}
-        found = []
-        for row in self._resolved(texts).tolist():
-            key = tuple(row)
-            if key not in known:
-                known[key] = self.tables.set_codes(sum(w << 64 * k for k, w in enumerate(key)))
-            found.append(known[key])
-        codes = pa.array([c for x in found for c in x], pa.string())
-        return texts.lists(codes, np.fromiter(map(len, found), np.int64, len(found)))
+        texts = Texts.of(strings)
+        sets, of = self._resolved(texts)
+        known = [self.tables.set_codes(m) for m in sets]
+        size = np.fromiter(map(len, known), np.int64, len(known))
+        ends = np.cumsum(size)
+        place = np.repeat((ends - size)[of], size[of])
+        ends = np.cumsum(size[of])
+        at = place + np.arange(len(place)) - np.repeat(ends - size[of], size[of])
+        codes = pa.array([c for x in known for c in x], pa.string())
+        return texts.lists(codes.take(pa.array(at, pa.int64())), size[of])
 
     def single_script(self, strings: pa.StringArray) -> pa.Array:
         texts = Texts.of(strings)
-        return texts.column(self._resolved(texts).any(axis=1))
+        sets, of = self._resolved(texts)
+        return texts.column(np.array([m != 0 for m in sets], bool)[of])
 
     def script_counts(self, strings: pa.StringArray) -> pa.ListArray:
         """For each string the scripts that it has and how many characters of each."""
@@ -231,17 +239,22 @@ class BatchFunctions:
     def _outside(self, texts: Texts, admitted: np.ndarray) -> np.ndarray:
         return texts.having(~admitted[texts.codes])
 
+    def _level(self, group: tuple[int, ...]) -> int:
+        """The level of a string with these script sets, all of whose characters are admitted and one of which isn't ASCII."""
+        t = self.tables
+        latin = 1 << t.script_ix["Latn"]
+        rest = reduce(and_, (m for m in group if not m & latin), t.all_scripts)
+        if reduce(and_, group, t.all_scripts):
+            return 2
+        return 3 if rest & self.asian else 4 if rest & t.partners else 5
+
     def _levels(self, texts: Texts, admitted: np.ndarray) -> np.ndarray:
-        out = np.ones(len(texts), np.int32)
-        outside = self._outside(texts, admitted)
-        rows = np.flatnonzero(texts.having(texts.codes > 0x7F) & ~outside)
-        out[outside] = 6
-        if len(rows):
-            rest = self._common(texts, self.rest, rows)
-            meets = lambda other: (rest & other).any(axis=1)
-            single = self._common(texts, self.words, rows).any(axis=1)
-            out[rows] = np.where(single, 2, np.where(meets(self.asian), 3, np.where(meets(self.partners), 4, 5)))
-        return out
+        outside, beyond = self._outside(texts, admitted), texts.having(texts.codes > 0x7F)
+        if not (beyond & ~outside).any():
+            return np.where(outside, 6, 1).astype(np.int32)
+        groups, of = self._present(texts)
+        level = np.array([self._level(g) for g in groups], np.int32)[of]
+        return np.where(outside, 6, np.where(beyond, level, 1)).astype(np.int32)
 
     def _profile(self, profile) -> np.ndarray:
         if profile is None:

@@ -73,3 +73,14 @@ def test_pieces(monkeypatch):
     rows = ["abc", "é" * 30, None, "", "x" * 4, "y" * 4, "z" * 4]
     parts = list(batches.pieces(pa.array(["head", *rows], pa.large_string()).slice(1)))
     assert [x for p in parts for x in p.to_pylist()] == rows and len(parts) == 4
+
+
+def test_more_sets_than_a_word_has_bits(both):
+    """A batch in which every script occurs."""
+    one, whole = both
+    every = [chr(a) for a, _, code in one.tables.script.ranges() if code != "Zzzz" and not 0xD800 <= a < 0xE000]
+    rows = [*every, "".join(every), None, "", *(x + y for x, y in zip(every, every[1:]))]
+    assert len({int(whole.set[ord(c)]) for c in every}) > 64
+    wide = frozenset(range(0x110000))
+    assert whole.restriction_level(pa.array(rows), wide).to_pylist() == [None if s is None else one.level(s, wide.__contains__) for s in rows]
+    assert whole.resolved_scripts(pa.array(rows)).to_pylist() == [None if s is None else one.tables.set_codes(one.resolved(s)) for s in rows]
