@@ -560,11 +560,11 @@ def data_file_fields(spark, sf_dir):
     return rows.select("first", "last", F.get("f", F.lit(0)).alias("value"), F.get("f", F.lit(1)).alias("more"))
 
 
-@query(_values([("0041", 65, "65"), (" 10FFFF ", 1114111, "1114111"), ("0061 0301", None, "97 769"), ("1F468  200D 1F469", None, "128104 8205 128105"), ("", None, "")], "given", "one", "list"))
+@query(_values([("0041", 65, "65"), (" 10FFFF ", 1114111, "1114111"), ("0061 0301", -1, "97 769"), ("1F468  200D 1F469", -1, "128104 8205 128105"), ("", -1, "")], "given", "one", "list"))
 def data_file_numbers(spark, sf_dir):
-    """Hexadecimal code points, single and in lists."""
+    """Hexadecimal code points, single (-1 where it isn't one) and in lists."""
     given = spark.createDataFrame([("0041",), (" 10FFFF ",), ("0061 0301",), ("1F468  200D 1F469",), ("",)], "given string")
-    one = F.when(F.trim("given").rlike("^[0-9A-F]+$"), ucd.parse_hex(F.col("given")))
+    one = F.when(F.trim("given").rlike("^[0-9A-F]+$"), ucd.parse_hex(F.col("given"))).otherwise(-1)
     return given.select("given", one.alias("one"), F.array_join(ucd.parse_hex_list(F.col("given")).cast("array<string>"), " ").alias("list"))
 
 
